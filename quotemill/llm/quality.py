@@ -37,7 +37,7 @@ THRESHOLDS = (
     Threshold("too_repetitive", "repeat_ratio", high=0.5),
     Threshold("odd_word_length", "mean_word_chars", low=2, high=12),
     Threshold("too_many_symbols", "symbol_ratio", high=0.1),
-    Threshold("too_many_repeated_lines", "dup_line_ratio", high=0.3),
+    Threshold("too_many_repeated_lines", "dup_line_ratio", high=0.5),
     Threshold("no_stop_words", "stop_word_ratio", low=0.02),
 )
 
@@ -183,7 +183,7 @@ named AS (
     CASE WHEN n_repeat_words / d > 0.5 THEN 'too_repetitive' END,
     CASE WHEN word_chars / d < 2 OR word_chars / d > 12 THEN 'odd_word_length' END,
     CASE WHEN CAST(n_symbols AS DOUBLE) / d > 0.1 THEN 'too_many_symbols' END,
-    CASE WHEN CAST(n_dup_lines AS DOUBLE) / dl > 0.3 THEN 'too_many_repeated_lines' END,
+    CASE WHEN CAST(n_dup_lines AS DOUBLE) / dl > 0.5 THEN 'too_many_repeated_lines' END,
     CASE WHEN CAST(n_stop AS DOUBLE) / d < 0.02 THEN 'no_stop_words' END], lambda x: x IS NOT NULL), ',') AS failed_rules FROM rules
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
