@@ -1,0 +1 @@
+"""Whole queries: operators put together over the given tables."""

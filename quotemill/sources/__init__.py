@@ -1,0 +1 @@
+"""Feeds, lookup tables and sinks."""
