@@ -104,43 +104,43 @@ def leaf_budgets(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def _with_order(rows: DataFrame, mix: Mix) -> DataFrame:
     """Adds __key: the place of the row in the leaf's last, partly read epoch."""
-    key = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.col("passes").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.col("__passes").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
     return rows.withColumn("__key", key)
 
 
 def leaf_plan(rows: DataFrame, mix: Mix) -> DataFrame:
-    """(LEVELS, passes, cut): whole epochs of each leaf, and the last row of its token-prefix.
+    """(LEVELS, __passes, __rest, __end_slice, __cut): whole epochs of each leaf, and the last row of its token-prefix.
 
     rows: LEVELS, __tokens, __id, __text_hash.
     """
-    parts = leaf_budgets(rows, mix).withColumn("passes", F.expr("part div tokens").cast("long"))
-    parts = durable(parts.select(*LEVELS, "passes", (F.col("part") - F.col("passes") * F.col("tokens")).cast("long").alias("rest")))
-    placed = _with_order(rows.where("__tokens > 0").join(parts.where("rest > 0"), LEVELS), mix).withColumn("slice", F.substring("__key", 1, 3))
-    sums = placed.groupBy(*LEVELS, "rest", "slice").agg(F.sum("__tokens").alias("held"))
+    parts = leaf_budgets(rows, mix).withColumn("__passes", F.expr("part div tokens").cast("long"))
+    parts = durable(parts.select(*LEVELS, "__passes", (F.col("part") - F.col("__passes") * F.col("tokens")).cast("long").alias("__rest")))
+    placed = _with_order(rows.where("__tokens > 0").join(parts.where("__rest > 0"), LEVELS), mix).withColumn("slice", F.substring("__key", 1, 3))
+    sums = placed.groupBy(*LEVELS, "__rest", "slice").agg(F.sum("__tokens").alias("held"))
     upto = W.partitionBy(*LEVELS).orderBy("slice")
     sums = sums.withColumn("upto", F.sum("held").over(upto))
-    ends = sums.where("upto > rest and upto - held <= rest").select(*LEVELS, "slice", (F.col("upto") - F.col("held")).alias("before"))
+    ends = sums.where("upto > __rest and upto - held <= __rest").select(*LEVELS, "slice", (F.col("upto") - F.col("held")).alias("before"))
     place = F.struct("__key", "__id", "__text_hash")
     near = placed.join(ends, [*LEVELS, "slice"])
     run = W.partitionBy(*LEVELS, "slice").orderBy("__key", "__id", "__text_hash")  # equal rows have an equal sum
     last = (
         near.withColumn("at", F.col("before") + F.sum("__tokens").over(run))
-        .where("at <= rest")
+        .where("at <= __rest")
         .groupBy(*LEVELS)
-        .agg(F.max(place).alias("cut"))
+        .agg(F.max(place).alias("__cut"))
     )
-    ended = ends.select(*LEVELS, F.col("slice").alias("end_slice"))
-    return durable(parts.join(ended, LEVELS, "left").join(last, LEVELS, "left").select(*LEVELS, "passes", "rest", "end_slice", "cut"))
+    ended = ends.select(*LEVELS, F.col("slice").alias("__end_slice"))
+    return durable(parts.join(ended, LEVELS, "left").join(last, LEVELS, "left").select(*LEVELS, "__passes", "__rest", "__end_slice", "__cut"))
 
 
 def choose(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
-    """Adds `copies`: how often each row is read. rows: LEVELS, __tokens, __id, __text_hash and others."""
+    """Adds `__copies`: how often each row is read. rows: LEVELS, __tokens, __id, __text_hash and others."""
     small = plan.limit(MAX_BROADCAST_LEAVES + 1).count() <= MAX_BROADCAST_LEAVES
     joined = _with_order(rows.join(F.broadcast(plan) if small else plan, LEVELS), mix)
-    before = F.coalesce(F.substring("__key", 1, 3) < F.col("end_slice"), F.lit(False))
-    inside = F.coalesce(F.struct("__key", "__id", "__text_hash") <= F.col("cut"), F.lit(False))
-    once = F.when((F.col("__tokens") > 0) & (F.col("rest") > 0) & (before | inside), 1).otherwise(0)
-    return joined.withColumn("copies", F.when(F.col("__tokens") > 0, F.col("passes") + once).otherwise(0).cast("long"))
+    before = F.coalesce(F.substring("__key", 1, 3) < F.col("__end_slice"), F.lit(False))
+    inside = F.coalesce(F.struct("__key", "__id", "__text_hash") <= F.col("__cut"), F.lit(False))
+    once = F.when((F.col("__tokens") > 0) & (F.col("__rest") > 0) & (before | inside), 1).otherwise(0)
+    return joined.withColumn("__copies", F.when(F.col("__tokens") > 0, F.col("__passes") + once).otherwise(0).cast("long"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> list[Column]:
@@ -159,10 +159,10 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col="doc_id", text_col="te
     ordered by text. An empty table gives an empty result. Other columns aren't read.
     """
     slim = durable(docs.select(*_rows(docs, id_col, text_col, lang_col, source_col)))
-    chosen = choose(slim, leaf_plan(slim, mix), mix).where("copies > 0")
+    chosen = choose(slim, leaf_plan(slim, mix), mix).where("__copies > 0")
     names = ["domain", "language", "source"]
     levels = [F.col(c).alias(n) for c, n in zip(LEVELS, names, strict=True)]
-    return chosen.select(F.col("__id").alias("doc_id"), *levels, F.col("__tokens").alias("tokens"), "copies")
+    return chosen.select(F.col("__id").alias("doc_id"), *levels, F.col("__tokens").alias("tokens"), F.col("__copies").alias("copies"))
 
 
 def take_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
@@ -170,8 +170,8 @@ def take_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
     names = docs.columns
     own = _rows(docs, "doc_id", "text", "lang", "source")
     slim = durable(docs.select(*own))
-    chosen = choose(docs.select(*names, *own), leaf_plan(slim, mix), mix).where("copies > 0")
-    return chosen.select(*names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*names)
+    chosen = choose(docs.select(*names, *own), leaf_plan(slim, mix), mix).where("__copies > 0")
+    return chosen.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*names)
 
 
 def _fill_sql(src: str, parents: str, name: str) -> str:
@@ -187,8 +187,8 @@ def _fill_sql(src: str, parents: str, name: str) -> str:
 ORACLE_SQL = f"""
 WITH docs AS (
   SELECT doc_id, text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS language,
-         CASE WHEN regexp_extract(coalesce(source, ''), '[0-9]+$') = '' THEN 'unknown'
-              ELSE (['web', 'news', 'reference', 'forum'])[CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 4 + 1] END AS domain,
+         CASE WHEN regexp_extract(coalesce(source, ''), '[0-9]{{1,9}}$') = '' THEN 'unknown'
+              ELSE (['web', 'news', 'reference', 'forum'])[CAST(regexp_extract(source, '[0-9]{{1,9}}$') AS BIGINT) % 4 + 1] END AS domain,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
   FROM documents
 ),
