@@ -62,7 +62,7 @@ def test_template_texts_go_where_no_article_is_marked(spark):
     rows = [(i, "http://h.org/x", page(i, 2)) for i in range(6)] + [(9, "http://h.org/y", PAGE), (None, None, None), (10, "odd", "")]
     rows.append(rows[0])
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in h.extract_text(pages(spark, rows).where("page_id is null or page_id <> 9")).collect())
-    want = [(str(i), f"item {i} 0\nitem {i} 1\nText of {i}", 28) for i in range(6)]
+    want = [(str(i), f"item {i} 0\nitem {i} 1\nText of {i}", 27) for i in range(6)]
     want += [want[0], ("None", "", 0), ("10", "", 0)]
     assert got == sorted(want)
     assert h.extract_text(pages(spark, rows).where("false")).count() == 0
