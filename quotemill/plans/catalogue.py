@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quotemill.plans import bi, market, technical
+from quotemill.plans import bi, market, streams, technical
 
-_MODULES = (bi, market, technical)
+_MODULES = (bi, market, technical, streams)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: sql for m in _MODULES for k, sql in m.ORACLE_SQL.items()}

@@ -1,0 +1 @@
+"""The operators over unbounded ticks."""
