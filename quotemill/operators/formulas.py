@@ -386,9 +386,124 @@ def parabolic(step=0.02, most=0.2):
     return Ind("sar", (high, low), (step, most))
 
 
+def volatility_band(n=5, k=0.5, top=True):
+    """Highest close plus (lowest minus) k average ranges."""
+    edge = highest(close, n) if top else lowest(close, n)
+    return edge + atr(n) * float(k if top else -k)
+
+
+def adaptive_band(n=20, top=True):
+    """Band whose width follows the deviation against its own ten-bar mean, between 1.5 and 2.5."""
+    s = sd(close, n)
+    k = Ind("smaller", (Ind("larger", (s / sma(s, 10) * 2.0, 1.5)), 2.5))
+    return sma(close, n) + s * k * (1.0 if top else -1.0)
+
+
+def divergence(n=5):
+    """1 where the price fell and the strength rose over n bars, -1 the other way round, else 0."""
+    p, r = change(close, n), change(rsi(close), n)
+    return choose(under(p, 0.0) & over(r, 0.0), 1.0, choose(over(p, 0.0) & under(r, 0.0), -1.0, 0.0))
+
+
+def volume_force():
+    """Signed volume weighted by the bar's range against the ranges of 21 bars."""
+    up = choose(over(typical, before(typical)), 1.0, choose(under(typical, before(typical)), -1.0, 0.0))
+    return volume * ((high - low) / total(high - low, 21) - 1.0) * up * 200.0
+
+
+def klinger():
+    return ema(volume_force(), 34) - ema(volume_force(), 55)
+
+
+def adaptive_mean(n=20, least=5, most=50, k=0.1):
+    """Mean over a length that grows with the coefficient of variation."""
+    size = Ind("smaller", (Ind("larger", ((sd(close, n) / sma(close, n) * k + 1.0) * float(n), float(least))), float(most)))
+    return Ind("mean_of_last", (close, size), (most,))
+
+
+def position_weighted(n=20):
+    """Mean weighted by volume and by position, the newest bar heaviest."""
+    return wma(close * volume, n) / wma(volume, n)
+
+
+def rocket_rsi(n=14):
+    r, boost = rsi(close, n), volume / sma(volume, n) * 0.3
+    return Ind("smaller", (Ind("larger", (choose(over(r, 50.0), r + boost, r - boost), 0.0)), 100.0))
+
+
+def selection_index(n=14):
+    moves = change(close) / before(close)
+    return (close / before(close, n) - 1.0) / Ind("root", (sma(moves * moves, n),)) * 100.0
+
+
+def trend_intensity(n=20):
+    up = total(choose(over(close, before(close)), 1.0, 0.0), n)
+    down = total(choose(under(close, before(close)), 1.0, 0.0), n)
+    return up / (up + down) * 100.0
+
+
+def know_sure_thing():
+    parts = [sma(roc(close, n), m) * float(w) for n, m, w in ((10, 10, 1), (15, 10, 2), (20, 10, 3), (30, 15, 4))]
+    return parts[0] + parts[1] + parts[2] + parts[3]
+
+
+def rainbow(n=2, lines=10):
+    """Place of the close within repeated means of means, as a percentage."""
+    means = [sma(close, n)]
+    for _ in range(lines - 1):
+        means.append(sma(means[-1], n))
+    top, bottom = Ind("larger", tuple(means)), Ind("smaller", tuple(means))
+    return (close - bottom) / (top - bottom) * 100.0
+
+
+def random_walk(n=14):
+    scale = atr(n) * math.sqrt(n)
+    return Ind("larger", ((high - before(close, n)) / scale, (before(close, n) - low) / scale))
+
+
 # Candles.
 
 
+def top_shadow():
+    return high - Ind("larger", (open_, close))
+
+
+def bottom_shadow():
+    return Ind("smaller", (open_, close)) - low
+
+
+def hanging_man(top=0.3, bottom=1.2):
+    shape = ~under(body(), (high - low) * 0.1) & ~over(top_shadow(), body() * top) & ~under(bottom_shadow(), body() * bottom)
+    return shape & over(before(close, 1), before(close, 3))
+
+
+def inverted_hammer():
+    shape = over(top_shadow(), body() * 2.0) & under(bottom_shadow(), body() * 0.3) & under(Ind("larger", (open_, close)) - low, (high - low) * 0.6)
+    return shape & under(before(close, 1), before(close, 2))
+
+
+def star(morning=True):
+    """A long bar, a small one beyond a gap, and a strong bar back beyond the other gap."""
+    first = before(open_, 2) - before(close, 2) if morning else before(close, 2) - before(open_, 2)
+    small = under(Ind("abs", (before(close) - before(open_),)), first * 0.3)
+    if morning:
+        gaps = under(before(high), before(close, 2)) & over(open_, before(high))
+        last = close - open_
+    else:
+        gaps = over(before(low), before(close, 2)) & under(open_, before(low))
+        last = open_ - close
+    return over(first, 0.0) & small & gaps & over(last, 0.0) & over(last, first * 0.5)
+
+
+def piercing():
+    middle = (before(close) + before(open_)) / 2.0
+    return falls(1) & rises() & under(open_, before(close)) & over(close, middle) & under(close, before(open_))
+
+
+def dark_cloud():
+    return rises(1) & falls() & over(open_, before(close)) & under(close, (before(close) + before(open_)) / 2.0)
+
+
 def body():
     return Ind("abs", (close - open_,))
 

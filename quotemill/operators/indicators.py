@@ -287,6 +287,14 @@ def mean_deviation(run, rows, a, n):
     return F.aggregate(F.transform(values, lambda x: F.abs(x - middle)), F.lit(0.0), lambda s, x: s + x) / F.size(values)
 
 
+@_expression
+def mean_of_last(run, rows, a, size, most):
+    """Mean of as many of the last values as `size` says, rounded down, `most` at most."""
+    values = F.collect_list(a).over(rows(most))
+    n = F.least(F.floor(size).cast("int"), F.size(values))
+    return F.aggregate(F.slice(values, F.size(values) - n + 1, n), F.lit(0.0), lambda s, x: s + x) / n
+
+
 @_expression
 def arctan(run, rows, a):
     return F.degrees(F.atan(a))
@@ -438,6 +446,49 @@ def gaussian(x, n, poles):
     return out.to_numpy()
 
 
+@_fold
+def one_pole_slope(x, n, most):
+    """Exponential mean moved on towards the value by the slope of the last seven bars.
+
+    The correction is not fed back into the mean: fed back, a steep price makes it run away.
+    """
+    mean = pd.Series(x).ewm(alpha=2 / (n + 1), adjust=False).mean().to_numpy()
+    at = np.arange(7) - 3.0
+    slopes = np.zeros(len(x))
+    if len(x) > 7:
+        slopes[7:] = np.lib.stride_tricks.sliding_window_view(x, 7)[1:] @ at / 28
+    return mean + np.minimum(np.abs(slopes) * n / 4, most) * (x - mean)
+
+
+@_fold
+def super_smoother(x, n):
+    """Two-pole filter of the mean of neighbouring values."""
+    a = math.exp(-1.414 * math.pi / n)
+    b = 2 * a * math.cos(1.414 * math.pi / n)
+    out = np.array(x, float)
+    for i in range(2, len(x)):
+        out[i] = (1 - b + a * a) * (x[i] + x[i - 1]) / 2 + b * out[i - 1] - a * a * out[i - 2]
+    return out
+
+
+@_fold
+def fractal_mean(x, h, lo, n):
+    """Exponential mean whose weight follows the fractal dimension of the last n bars."""
+    n = int(n)
+    half = n // 2
+    span = lambda s, m: pd.Series(h).rolling(m).max().shift(s).to_numpy() - pd.Series(lo).rolling(m).min().shift(s).to_numpy()
+    parts = (span(half, half) + span(0, half)) / half / (span(0, n) / n + 1e-300)
+    out = np.array(x, float)
+    for i in range(n, len(x)):
+        if not parts[i] > 0:
+            out[i] = out[i - 1]
+            continue
+        size = min(max(math.log2(parts[i]), 1.0), 2.0)
+        weight = min(max(math.exp(-4.6 * (size - 1)), 0.01), 1.0)
+        out[i] = out[i - 1] + weight * (x[i] - out[i - 1])
+    return out
+
+
 def _depends(nodes: Iterable[Ind]) -> dict[Ind, int]:
     """Every node and the stage in which it can be computed."""
     stage: dict[Ind, int] = {}

@@ -81,7 +81,13 @@ MOVING_AVERAGES = _cross(
         "MARUBOZU": (close, sma(close, 10)),
         "VWMA_CROSSOVER": (f.vwma(12), f.vwma(26)),
         "PRICE_PATTERN_RECOGNITION": (sma(close, 10), sma(close, 20)),
-        "ICHIMOKU_BASE": (f.ichimoku(9), f.ichimoku(26)),
+        "ADAPTIVE_MOVING_AVERAGE": (close, f.adaptive_mean()),
+        "FRACTAL_ADAPTIVE_MA": (close, Ind("fractal_mean", (close, high, low), (20,))),
+        "ZERO_LAG_EMA": (close, Ind("one_pole_slope", (close,), (20, 50))),
+        "DOUBLE_EXPONENTIAL_MA": (close, Ind("ema_alpha", (close,), (0.1,)) * 2.0 - Ind("ema_alpha", (Ind("ema_alpha", (close,), (0.1,)),), (0.1,))),
+        "TRIPLE_EXPONENTIAL_MA": (close, f.triple_ema(close, 20)),
+        "VARIABLE_MA": (close, f.position_weighted(20)),
+        "EHLERS_FILTER": (close, Ind("super_smoother", (close,), (20,))),
         "PARABOLIC_SAR": (close, f.parabolic()),
         "PARABOLIC_SAR_REVERSAL": (close, f.parabolic()),
         "GAUSSIAN_FILTER": (close, Ind("gaussian", (close,), (20, 4))),
@@ -308,6 +314,125 @@ COMBINED: dict[str, Rules] = {
     "FRACTAL_GEOMETRY": (over(_sd10, sma(_sd10, 5)) & over(f.roc(close, 20), 0.01), under(_sd10, sma(_sd10, 5)) | under(f.roc(close, 20), 0.0)),
 }
 
+#: A rule that never holds: exits that need an open position are the trades' matter.
+NEVER = under(close, close)
+_top20, _low20 = f.band(close, 20, 1.8), f.band(close, 20, -1.8)
+_spans = (f.ichimoku(9) + f.ichimoku(26)) / 2.0
+_mass5 = f.total(ema(high - low, 5) / ema(ema(high - low, 5), 5), 15)
+_kurt = Ind("kurtosis", (close,), (20,))
+_moment = close / f.before(close, 10) * 100.0
+_hist8 = f.macd(close, 8, 17) - ema(f.macd(close, 8, 17), 6)
+_squeezed = under(f.band(close, 20, 2), f.keltner(20, 1.5, 20)) & over(f.band(close, 20, -2), f.keltner(20, -1.5, 20))
+_sdroc = f.sd(_roc1, 20)
+_loud = lambda n, k: over(volume, sma(volume, n) * k)
+_trendy = over(sma(close, 10), sma(close, 30))
+_calm_rsi = over(_rsi, 45.0) & under(_rsi, 70.0)
+_inside = under(close, _top20) & over(close, _low20)
+_channel = x_up(close, f.highest(high, 20))
+
+BREAKOUTS: dict[str, Rules] = {
+    "SUPERTREND": (
+        x_up(close, f.median + f.atr(7)) | over(close, ema(close, 20)) & over(close, f.median),
+        x_down(close, f.median - f.atr(7)) | under(close, ema(close, 20)) & under(close, f.median),
+    ),
+    "ICHIMOKU_CLOUD_BREAKOUT": (x_up(close, _spans), x_down(close, f.ichimoku(52))),
+    "CHANDELIER_EXIT": (
+        x_up(close, f.highest(high, 11)) | x_down(close, f.lowest(low, 11)),
+        x_down(close, f.highest(high, 22) - f.atr(22) * 3.0) | x_up(close, f.lowest(low, 22) + f.atr(22) * 3.0),
+    ),
+    "ATR": (x_up(close, _sma20) & over(f.atr(7), sma(f.atr(7), 5) * 0.9), x_down(close, _sma20) | under(close, close - f.atr(7))),
+    "BREAKOUT": (over(close, f.highest(high, 5) * 0.995) & over(close, ema(close, 20)), NEVER),
+    "WILLIAMS_ALLIGATOR": (
+        over(sma(f.median, 5), sma(f.median, 8)) & over(sma(f.median, 8), sma(f.median, 13)),
+        under(sma(f.median, 5), sma(f.median, 8)) & under(sma(f.median, 8), sma(f.median, 13)),
+    ),
+    "MASS": (x_up(_mass5, sma(_mass5, 5)) & over(close, ema(close, 20)), x_down(_mass5, sma(_mass5, 5)) | x_down(close, ema(close, 20))),
+    "SQUEEZE": (~_squeezed, _squeezed),
+    "HT_TRENDMODE": (over(close, sma(close, 21)), under(close, sma(close, 21))),
+    "ADAPTIVE_BOLLINGER": (x_down(close, f.adaptive_band(20, False)) & _loud(20, 1.05), x_up(close, _sma20) | over(close, f.before(close) * 1.03)),
+    "VOLATILITY_BREAKOUT": (x_up(close, f.volatility_band()), x_down(close, f.volatility_band(top=False))),
+    "PRICE_CHANNEL_BREAKOUT": (x_up(close, f.highest(high, 5)), x_down(close, f.lowest(low, 5))),
+    "DONCHIAN_BREAKOUT": (x_up(close, f.highest(high, 5)) & _loud(5, 0.8), x_down(close, f.lowest(low, 5))),
+    "VOLUME_BREAKOUT_CONFIRMATION": (x_up(close, f.highest(high, 15)) & _loud(20, 1.1), x_down(close, f.lowest(low, 15))),
+    "ELDER_RAY": (
+        over(close, ema(close, 13)) & over(high - ema(close, 13), 0.0) & over(low - ema(close, 13), f.before(low - ema(close, 13))),
+        under(close, ema(close, 13)) & under(low - ema(close, 13), 0.0) & under(high - ema(close, 13), f.before(high - ema(close, 13))),
+    ),
+    "KLINGER_OSCILLATOR": (x_up(f.klinger(), ema(f.klinger(), 13)), x_down(f.klinger(), ema(f.klinger(), 13))),
+    "MACD_WITH_BOLLINGER": (
+        (x_up(f.macd(close, 8, 17), ema(f.macd(close, 8, 17), 6)) | x_up(_hist8, 0.0)) & under(close, f.band(close, 15, -1.5) * 1.02) & under(_rsi, 45.0) & _loud(10, 1.0),
+        x_down(f.macd(close, 8, 17), ema(f.macd(close, 8, 17), 6)) | x_down(_hist8, 0.0) | over(close, f.band(close, 15, 1.5) * 0.98) | over(_rsi, 60.0),
+    ),
+    "MOMENTUM_REVERSAL": (under(_rsi, 30.0) & over(f.divergence(), 0.5) & under(f.roc(close, 10), 0.0), over(_rsi, 70.0) | under(f.divergence(), -0.5)),
+    "MOMENTUM_OSCILLATOR": (x_up(_moment, 100.0) & over(_moment, sma(_moment, 5)), x_down(_moment, 100.0) & under(_moment, sma(_moment, 5))),
+    "KNOW_SURE_THING": (x_up(f.know_sure_thing(), sma(f.know_sure_thing(), 9)), x_down(f.know_sure_thing(), sma(f.know_sure_thing(), 9))),
+}
+BREAKOUTS |= _reversals(
+    {
+        "ROCKET_RSI": (f.rocket_rsi(), 25.0, 75.0),
+        "STOCHASTIC_MOMENTUM": (f.stoch_k(14), 20.0, 80.0),
+        "RAINBOW_OSCILLATOR": (f.rainbow(), 20.0, 80.0),
+    }
+) | _limits(
+    {
+        "COMMODITY_SELECTION_INDEX": (f.selection_index(), 20.0, -20.0),
+        "TREND_INTENSITY_INDEX": (f.trend_intensity(), 60.0, 40.0),
+        "MASS_INDEX_REVERSAL": (f.mass_index(9, 25), 27.0, 26.5),
+        "RANDOM_WALK_INDEX": (f.random_walk(), 1.0, 0.5),
+        "KURTOSIS": (_kurt, sma(_kurt, 10) * 1.1, sma(_kurt, 10) * 0.9),
+    }
+)
+CANDLES |= {
+    "HANGING_MAN": (under(close, sma(close, 10)) & over(close, f.before(close) * 0.98), f.hanging_man() | over(close, f.before(close) * 0.98)),
+    "INVERTED_HAMMER": (f.inverted_hammer(), NEVER),
+    "MORNING_STAR": (f.star(), NEVER),
+    "EVENING_STAR": (f.star(False) | x_down(close, _sma20), x_up(close, _sma20)),
+    "PIERCING": (f.piercing(), NEVER),
+    "DARK_CLOUD_COVER": (f.dark_cloud(), NEVER),
+}
+VOTES: dict[str, Rules] = {
+    "GENETIC_ALGORITHM": (
+        f.at_least(2, x_up(sma(close, 10), sma(close, 30)), x_up(_rsi, 40.0), x_up(_macd, 0.0), _loud(20, 1.1)),
+        x_down(sma(close, 10), sma(close, 30)) | over(_rsi, 65.0) | x_down(_macd, 0.0) | over(close, f.before(close) * 1.08),
+    ),
+    "RANDOM_FOREST": (
+        f.at_least(3, over(sma(close, 10), _sma20) & over(close, _sma20), over(_rsi, 50.0) & over(_macd, 0.0), _loud(15, 1.3), under(_sd10, 2.0) & over(f.atr(), 0.01),
+                   over(close, f.lowest(close, 15) + (f.highest(close, 15) - f.lowest(close, 15)) * 0.4)),
+        under(sma(close, 10), _sma20) | over(_rsi, 75.0) | under(volume, sma(volume, 15) * 0.8),
+    ),
+    "LSTM": (
+        f.at_least(2, under(_sd10, sma(_sd10, 5) * 1.2), _loud(30, 1.05), over(sma(close, 5), sma(close, 30)) & _between(f.rsi(close, 7), 40.0, 80.0)),
+        under(sma(close, 5), sma(close, 30)) | over(f.rsi(close, 7), 80.0) | over(_sd10, 3.0),
+    ),
+    "KNN": (
+        f.at_least(2, over(_roc1, 0.005) & over(_rsi, 45.0) & over(close, _sma20), _loud(10, 1.1) & under(f.sd(close, 5), 1.8) & over(_rsi, 40.0), _between(_rsi, 35.0, 75.0) & over(_roc1, 0.0)),
+        under(_rsi, 30.0) | over(_rsi, 80.0) | under(close, _sma20),
+    ),
+    "DECISION_TREE": (
+        over(_rsi, 45.0) & over(close, _sma20) & over(_macd, 0.0) & _loud(15, 1.1) | ~over(_rsi, 45.0) & under(_rsi, 35.0) & under(_sd10, 2.0) & _loud(15, 1.0),
+        over(_rsi, 75.0) | under(_rsi, 25.0) | under(close, _sma20) | over(_sd10, 3.0),
+    ),
+    "ENSEMBLE": (
+        _trendy | _calm_rsi & _inside | _calm_rsi & _channel | _inside & _channel,
+        under(sma(close, 10), sma(close, 30)) | under(_rsi, 40.0) | over(_rsi, 75.0) | over(close, _top20) | under(close, _low20) | over(close, f.before(close) * 1.09),
+    ),
+    "PAIRS_TRADING": (under(close, f.band(close, 60, -2)), over(close, f.band(close, 60, -0.5))),
+    "GAMMA_SCALPING": (over(_sdroc, sma(_sdroc, 10)) | over(_roc1, 0.005), under(_sdroc, sma(_sdroc, 10)) | under(_roc1, -0.005)),
+    "VOLATILITY_MEAN_REVERSION": (over(f.sd(close, 20), sma(f.sd(close, 20), 60) * 2.0), under(f.sd(close, 20), sma(f.sd(close, 20), 60))),
+    "VOLATILITY_MOMENTUM": (over(f.roc(_sd10, 5), 0.01), under(f.roc(_sd10, 5), -0.005)),
+    "IMPLIED_VOLATILITY_RANK": (under(f.sd(close, 20), f.sd(close, 252) * 0.8), over(f.sd(close, 20), f.sd(close, 252) * 1.2)),
+    "CARRY_TRADE": (over(sma(close, 5) - sma(close, 30), 0.0) | over(close, sma(close, 5)), under(close, sma(close, 5))),
+    "FUNDAMENTAL_SCORE": (
+        over(f.roc(close, 252), sma(f.roc(close, 252), 20)) & under(f.sd(close, 252), sma(f.sd(close, 252), 20) * 1.2) & _loud(252, 0.8),
+        under(f.roc(close, 252), sma(f.roc(close, 252), 20) * 0.8),
+    ),
+    "SENTIMENT_ANALYSIS": (over(_roc1, 0.005) | _loud(20, 1.2), under(_roc1, -0.005) | over(f.sd(close, 20), 1.5)),
+    "QUANTUM_INSPIRED": (over(f.roc(close, 10), 0.005) | _loud(20, 1.1), under(f.roc(close, 10), -0.005) | under(volume, sma(volume, 20) * 0.9) | over(close, f.before(close) * 1.05)),
+    "KELLY_CRITERION": (over(_roc1, sma(_roc1, 14) * 0.5) & under(_sd14, sma(_sd14, 14) * 1.2), under(_roc1, 0.0) | over(_sd14, sma(_sd14, 14) * 1.5)),
+    "VAR_RISK_MANAGEMENT": (under(_sdroc, sma(_sdroc, 10)), over(_sdroc, sma(_sdroc, 10) * 1.5)),
+    "POSITION_SIZING": (under(f.sd(close, 20), sma(f.sd(close, 20), 20) * 1.2) & over(_roc1, sma(_roc1, 20) * 0.5), over(f.sd(close, 20), sma(f.sd(close, 20), 20) * 1.8)),
+}
+
 FAMILIES: dict[str, dict[str, Rules]] = {
     "moving_averages": MOVING_AVERAGES,
     "oscillators": OSCILLATORS,
@@ -316,6 +441,8 @@ FAMILIES: dict[str, dict[str, Rules]] = {
     "volumes": VOLUMES,
     "candles": CANDLES,
     "combined": COMBINED,
+    "breakouts": BREAKOUTS,
+    "votes": VOTES,
 }
 #: Other names under which configurations ask for a preset.
 ALIASES = {"MA": "SMA", "BOLL": "BOLLINGER_BANDS"}
