@@ -164,7 +164,7 @@ def dashboard_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per hour and instrument, for three instruments, and each one's share of the hour's volume."""
     rows = ticks(spark, sf_dir).where(F.col("inst_id").isin("click", "view", "purchase")).withColumn("hour", F.unix_millis(F.date_trunc("hour", "ts")))
     counted = rows.groupBy("hour", "inst_id").agg(F.count("*").alias("n"), F.sum("volume_24h").alias("volume"))
-    return counted.withColumn("share", F.round(F.col("volume") / F.sum("volume").over(W.partitionBy("hour")), 6))
+    return counted.withColumn("share", F.round(F.try_divide("volume", F.sum("volume").over(W.partitionBy("hour"))), 6))
 
 
 DASHBOARD_RATE = f"""WITH {TICKS},
