@@ -169,7 +169,7 @@ def dashboard_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DASHBOARD_RATE = f"""WITH {TICKS},
 c AS (SELECT epoch_ms(date_trunc('hour', ts)) AS hour, inst_id, count(*) AS n, sum(volume_24h) AS volume FROM ticks WHERE inst_id IN ('click', 'view', 'purchase') GROUP BY 1, 2)
-SELECT *, round(volume / sum(volume) OVER (PARTITION BY hour), 6) AS share FROM c"""
+SELECT *, round(volume / nullif(sum(volume) OVER (PARTITION BY hour), 0), 6) AS share FROM c"""
 
 
 def layer_head(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,10 +84,10 @@ FRESHNESS = f"WITH {TICKS} SELECT count(*) AS n, max(ms) AS last_ms, count(DISTI
 
 def signals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = market.trading_signals(spark, sf_dir).withColumn("day", F.date_format(F.timestamp_millis("window_start"), "yyyy-MM-dd"))
-    return rows.groupBy("day", "signal_type").agg(F.count("*").alias("n"), F.max("confidence").alias("max_confidence"))
+    return rows.groupBy("day", "signal_type").agg(F.count("*").alias("n"), F.max("signal_count").alias("max_count"))
 
 
-SIGNALS_BY_DAY = f"WITH {market._SIGNALS} SELECT strftime(w, '%Y-%m-%d') AS day, signal_type, count(*) AS n, max(confidence) AS max_confidence FROM g GROUP BY 1, 2"
+SIGNALS_BY_DAY = f"WITH {market._SIGNALS} SELECT strftime(w, '%Y-%m-%d') AS day, signal_type, count(*) AS n, max(n) AS max_count FROM g GROUP BY 1, 2"
 
 
 def strategy_types(spark: SparkSession, sf_dir: str) -> DataFrame:
