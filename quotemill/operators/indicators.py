@@ -252,6 +252,13 @@ def percentile(run, rows, a, n, p):
     return F.get(values, F.greatest(F.ceil(p * F.size(values) / 100.0).cast("int") - 1, F.lit(0)))
 
 
+@_expression
+def percent_rank(run, rows, a, n):
+    """Share of the last n values that are not above this one, as a percentage."""
+    values = F.collect_list(a).over(rows(n))
+    return F.size(F.filter(values, lambda x: x <= a)) * 100.0 / F.size(values)
+
+
 @_expression
 def bar_number(run, rows):
     return F.row_number().over(run).cast("double")

@@ -444,6 +444,28 @@ FAMILIES: dict[str, dict[str, Rules]] = {
     "breakouts": BREAKOUTS,
     "votes": VOTES,
 }
+_cycle = ema(f.stochastic_of(f.macd(close, 23, 50), 10), 3)
+_schaff = ema(f.stochastic_of(_cycle, 10), 3) * 100.0
+_up20 = over(close, _sma20) | x_up(close, _sma20)
+_up_macd = over(_macd, 0.0) | x_up(_macd, 0.0)
+#: Presets beside the registered ones: earlier forms of some, and a few well-known additions.
+OPTIONAL: dict[str, Rules] = {
+    "DOUBLE_PUSH": (x_up(sma(close, 5), _sma20) & over(_rsi, 50.0), x_down(sma(close, 5), _sma20) & under(_rsi, 50.0)),
+    "MULTI_LEVEL": (under(_rsi, 30.0) & x_up(close, _sma20), over(_rsi, 70.0)),
+    "ADVANCED_MULTI_LEVEL": (x_up(_macd, _signal) & over(_rsi, 30.0) & under(_rsi, 70.0), NEVER),
+    "TRIPLE_SCREEN_VOTES": (f.at_least(2, _up20, over(_rsi, 45.0), _up_macd), ~_up20 | under(_rsi, 40.0) | under(_macd, -0.0001)),
+    "MEAN_REVERSION_BANDS": (under(close, f.band(close, 20, -1.5)), over(close, f.band(close, 20, 1.5)) | x_up(close, _sma20)),
+    "VOLUME_CONFIRMATION": (over(f.roc(close, 5), 0.005) & _loud(10, 1.1) | over(f.roc(close, 5), 0.01), under(f.roc(close, 5), -0.005) | under(volume, sma(volume, 10))),
+    "MOMENTUM_SHORT": (
+        over(f.roc(close, 3), 0.003) & over(f.roc(close, 10), 0.002) & over(f.roc(close, 3), f.roc(close, 10)) | over(f.roc(close, 3), 0.01),
+        under(f.roc(close, 3), 0.0) | under(f.roc(close, 3), f.roc(close, 10)),
+    ),
+    "SCHAFF_TREND_CYCLE": (x_up(_schaff, 25.0), x_down(_schaff, 75.0)),
+    "PERCENT_RANK": (under(Ind("percent_rank", (close,), (20,)), 20.0), over(Ind("percent_rank", (close,), (20,)), 80.0)),
+    "NET_MOMENTUM": (over(f.cmo(close, 14), 0.0), under(f.cmo(close, 14), 0.0)),
+    "STOCHASTIC_INDICATOR": (x_up(f.stochastic_of(close, 14), 0.2), x_down(f.stochastic_of(close, 14), 0.8)),
+}
+
 #: Other names under which configurations ask for a preset.
 ALIASES = {"MA": "SMA", "BOLL": "BOLLINGER_BANDS"}
 PRESETS: dict[str, Rules] = {name: rules for family in FAMILIES.values() for name, rules in family.items()}
@@ -452,9 +474,9 @@ PRESETS: dict[str, Rules] = {name: rules for family in FAMILIES.values() for nam
 def preset(name: str) -> Rules:
     """The rules of a preset; ValueError for a name that isn't known."""
     name = ALIASES.get(name.upper(), name.upper())
-    if name not in PRESETS:
+    if name not in PRESETS and name not in OPTIONAL:
         raise ValueError(f"unknown preset {name}")
-    return PRESETS[name]
+    return PRESETS.get(name) or OPTIONAL[name]
 
 
 def preset_signals(bars: DataFrame, names: Iterable[str], strength: float = 80.0) -> DataFrame:

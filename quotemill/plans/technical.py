@@ -72,7 +72,7 @@ SELECT inst_id, epoch_ms(bar_time) AS bar_ms, round(v, 4) AS ema_12 FROM e"""
 
 
 def _signals(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
-    out = presets.preset_signals(daily_bars(spark, sf_dir), presets.FAMILIES[family])
+    out = presets.preset_signals(daily_bars(spark, sf_dir), presets.FAMILIES.get(family, presets.OPTIONAL))
     return out.where("signal_type <> 'HOLD'").select("inst_id", _bar_ms(), "preset", "signal_type", "strength")
 
 
@@ -153,6 +153,6 @@ _ALL = {
     "trades_stops": (partial(_trades, exits=trades.Exits()), None),
     "trades_multi_level": (partial(_trades, exits=trades.MULTI_LEVEL), None),
     "trades_advanced": (partial(_trades, exits=trades.ADVANCED), None),
-} | {f"presets_{k}": (partial(_signals, family=k), None) for k in presets.FAMILIES}
+} | {f"presets_{k}": (partial(_signals, family=k), None) for k in (*presets.FAMILIES, "optional")}
 QUERIES = {k: q for k, (q, _) in _ALL.items()}
 ORACLE_SQL = {k: sql for k, (_, sql) in _ALL.items() if sql}

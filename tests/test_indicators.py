@@ -82,11 +82,12 @@ def test_crossing_with_ties(spark):
     assert [i for i, r in enumerate(got) if r.up] == [4, 9] and [i for i, r in enumerate(got) if r.down] == [7]
 
 
-@pytest.mark.parametrize("family", presets.FAMILIES)
+@pytest.mark.parametrize("family", [*presets.FAMILIES, "optional"])
 def test_presets_build_and_say_one_of_three(bars, family):
-    out = presets.preset_signals(bars, presets.FAMILIES[family])
+    names = presets.FAMILIES.get(family, presets.OPTIONAL)
+    out = presets.preset_signals(bars, names)
     assert {r.signal_type for r in out.select("signal_type").distinct().collect()} <= {"BUY", "SELL", "HOLD"}
-    assert out.count() == (bars.count() - 2) * len(presets.FAMILIES[family])
+    assert out.count() == (bars.count() - 2) * len(names)
 
 
 def test_names(spark, bars):
