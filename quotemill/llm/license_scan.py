@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-GRAM, GAP, COVER = 2, 3, 0.75
+GRAM, GAP, COVER = 2, 3, 0.82
 #: The phrases and labels of the contract.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Openings of well-known licenses and notices, and their labels.

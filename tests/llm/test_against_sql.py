@@ -91,11 +91,15 @@ def test_license_words_may_be_missing_or_added(spark):
         (1, "permission is hereby granted free of charge to any other person obtaining a copy of this software and documentation files", "en", "s"),
         (2, "permission is granted", "en", "s"),
         (3, "apache license apache license", "en", "s"),
+        (4, "Licensed under CC BY-NC 4.0.", "en", "s"),
+        (5, "Licensed under the Apache License, Version 2.0.", "fr", "s"),
     ]
     got = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
-    assert got[1].labels == "mit" and got[1].n_base == 0 and 0.75 <= got[1].score < 1
+    assert got[1].labels == "mit" and got[1].n_base == 0 and 0.82 <= got[1].score < 1
     assert got[2].labels == "" and got[2].score == 0
     assert (got[3].n_base, got[3].first_word, got[3].last_word) == (2, 0, 2)
+    assert (got[4].labels, got[4].n_base, got[4].score) == ("cc-by-nc", 0, 1)
+    assert (got[5].labels, got[5].base_labels, got[5].n_base, got[5].first_word) == ("apache", "apache", 1, 3)
 
 
 def test_shortages_go_to_siblings_first(spark):
