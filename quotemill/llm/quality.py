@@ -71,51 +71,53 @@ def _repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < WINDOW, zero).otherwise(found(w)))
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with a struct column `__metrics`: the counts of the contract and the ratios of the table.
+def metrics_of(text: Column) -> Column:
+    """A struct of the contract's counts and the table's ratios, as one expression.
 
-    The words are split once, in a step of their own, so that no expression splits them again.
+    Words, lines and counts are bound once and used by name inside it. So nothing is counted twice,
+    also where the optimizer moves a filter on the result below the projection that made it.
     """
-    names = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.select(*names, text.alias("__text"), split_words(F.col(text_col)).alias("__words"), lines.alias("__lines"))
-    words, body = F.col("__words"), F.col("__text")
-    stop = F.filter(words, lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", "")).isin(STOP_WORDS))
-    counts = {
-        "n_words": F.size(words),
-        "word_chars": F.length(F.array_join(words, "")),
-        "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)),
-        "n_lines": F.size("__lines"),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "n_repeat_words": _repeat_words(words),
-        "n_stop_words": F.size(stop),
-    }
-    counted = split.select(*names, F.struct(*(c.cast("long").alias(k) for k, c in counts.items())).alias("__n"))
-    n = {k: F.col(f"__n.{k}") for k in counts}
-    per_word, per_line = F.greatest(n["n_words"], F.lit(1)), F.greatest(n["n_lines"], F.lit(1))
-    ratios = {
-        "repeat_ratio": n["n_repeat_words"] / per_word,
-        "mean_word_chars": n["word_chars"] / per_word,
-        "symbol_ratio": n["n_symbols"] / per_word,
-        "dup_line_ratio": n["n_dup_lines"] / per_line,
-        "stop_word_ratio": n["n_stop_words"] / per_word,
-    }
-    every = [c.alias(k) for k, c in (n | ratios).items()]
-    return counted.select(*names, F.struct(*every).alias("__metrics"))
-
-
-def broken(rule: Threshold) -> Column:
+    is_stop = lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", "")).isin(STOP_WORDS)
+
+    def counts(w: Column, ln: Column) -> Column:
+        found = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+            "n_lines": F.size(ln),
+            "n_dup_lines": F.size(ln) - F.size(F.array_distinct(ln)),
+            "n_repeat_words": _repeat_words(w),
+            "n_stop_words": F.size(F.filter(w, is_stop)),
+        }
+        return F.struct(*[c.cast("long").alias(k) for k, c in found.items()])
+
+    def with_ratios(n: Column) -> Column:
+        names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+        per_word, per_line = F.greatest(n["n_words"], F.lit(1)), F.greatest(n["n_lines"], F.lit(1))
+        ratios = {
+            "repeat_ratio": n["n_repeat_words"] / per_word,
+            "mean_word_chars": n["word_chars"] / per_word,
+            "symbol_ratio": n["n_symbols"] / per_word,
+            "dup_line_ratio": n["n_dup_lines"] / per_line,
+            "stop_word_ratio": n["n_stop_words"] / per_word,
+        }
+        return F.struct(*[n[k].alias(k) for k in names], *[c.alias(k) for k, c in ratios.items()])
+
+    return let(split_words(text), lambda w: let(lines, lambda ln: let(counts(w, ln), with_ratios)))
+
+
+def broken(rule: Threshold, metrics: Column) -> Column:
     """True where the metric lies outside the threshold; equality passes."""
-    metric = F.col(f"__metrics.{rule.metric}")
+    metric = metrics[rule.metric]
     low = metric < rule.low if rule.low is not None else F.lit(False)
     high = metric > rule.high if rule.high is not None else F.lit(False)
     return low | high
 
 
-def base_failed() -> Column:
-    words = F.col("__metrics.n_words")
-    return (words < 50) | (100 * F.col("__metrics.n_repeat_words") > 50 * words)
+def base_failed(metrics: Column) -> Column:
+    return (metrics["n_words"] < 50) | (100 * metrics["n_repeat_words"] > 50 * metrics["n_words"])
 
 
 def judge(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text_col: str = "text") -> DataFrame:
@@ -126,8 +128,10 @@ def judge(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text_
     gives an empty result. Other columns of `docs` pass through. Long texts are judged whole. No row
     is shuffled.
     """
-    failed = F.array_compact(F.array(*[F.when(broken(t), F.lit(t.rule)) for t in thresholds]))
-    judged = measure(docs, text_col).withColumn("__failed", failed).withColumn("__base_failed", base_failed())
+    metrics = F.col("__metrics")
+    failed = F.array_compact(F.array(*[F.when(broken(t, metrics), F.lit(t.rule)) for t in thresholds]))
+    judged = docs.select("*", metrics_of(F.col(text_col)).alias("__metrics"))
+    judged = judged.select("*", failed.alias("__failed"), base_failed(metrics).alias("__base_failed"))
     return judged.withColumn("__kept", ~F.col("__base_failed") & (F.size("__failed") == 0))
 
 
@@ -143,9 +147,16 @@ def quality_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
-    """The rows of `docs` that pass every rule, with their own columns."""
-    return judge(docs, thresholds).where("__kept").select(*docs.columns)
+def keep_good(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that pass every rule, with their own columns; edge cases as in `judge`."""
+
+    def passes(metrics: Column) -> Column:
+        bad = base_failed(metrics)
+        for t in thresholds:
+            bad |= broken(t, metrics)
+        return ~bad
+
+    return docs.where(let(metrics_of(F.col(text_col)), passes))
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
