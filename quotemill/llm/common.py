@@ -40,6 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_spread(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row per key, so that the rows of one busy key can be split.
+
+    A table that was aggregated by the keys is already dealt by them, and Spark would then keep that
+    dealing, in which a key's rows can't be parted. The further key makes it deal both sides for the
+    join alone, which its skew handling can split.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(1 << 20))
+    return rows.withColumn("__slot", slot).join(per_key.withColumn("__slot", slot), [*keys, "__slot"], how).drop("__slot")
+
+
 def split_words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; a null or empty text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.llm.common import join_spread
+
 MIN_CHARS, MIN_DOCS = 10, 2
 #: A row without an id counts as one document that comes after all others.
 NO_ID = (1 << 63) - 1
@@ -53,7 +55,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = rows.mapInArrow(scan, "id long, high long, low long")
     count = F.count_distinct("id") if min_docs > 2 else F.when(F.min("id") < F.max("id"), 2).otherwise(1)
     shared = lines.groupBy("high", "low").agg(F.min("id").alias("keeper"), count.alias("n")).where(F.col("n") >= min_docs)
-    lost = lines.join(shared.select("high", "low", "keeper"), ["high", "low"]).where("id <> keeper")
+    lost = join_spread(lines, shared.select("high", "low", "keeper"), ["high", "low"]).where("id <> keeper")
     return lost.select("id", F.concat(F.to_binary(F.lpad(F.hex("high"), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex("low"), 16, "0"), F.lit("hex"))).alias("hash"))
 
 
