@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import durable, whole_runs
+from quotemill.llm.common import durable, join_spread, whole_runs
 from quotemill.llm.components import connected_components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
@@ -139,7 +139,7 @@ def fingerprint_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
         )
     )
     dealt = (
-        keys.join(crowd, ["band", "key"])
+        join_spread(keys, crowd, ["band", "key"])
         .withColumn("chunks", chunks)
         .withColumn("own", own)
         .select("band", "key", F.explode(parts.cast("array<int>")).alias("part"), "fp")
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "root", F.coalesce("component", "fp")
     )
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = member.join(least, "root").select("fp", "component_id")
+    label = join_spread(member, least, ["root"]).select("fp", "component_id")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
