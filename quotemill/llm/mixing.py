@@ -108,6 +108,11 @@ def _with_order(rows: DataFrame, mix: Mix) -> DataFrame:
     return rows.withColumn("__key", key)
 
 
+def _lookup(leaves: DataFrame) -> DataFrame:
+    """A table with a row per leaf, to be broadcast if its row count, read here, is within the limit."""
+    return F.broadcast(leaves) if leaves.limit(MAX_BROADCAST_LEAVES + 1).count() <= MAX_BROADCAST_LEAVES else leaves
+
+
 def leaf_plan(rows: DataFrame, mix: Mix) -> DataFrame:
     """(LEVELS, __passes, __rest, __end_slice, __cut): whole epochs of each leaf, and the last row of its token-prefix.
 
@@ -115,13 +120,13 @@ def leaf_plan(rows: DataFrame, mix: Mix) -> DataFrame:
     """
     parts = leaf_budgets(rows, mix).withColumn("__passes", F.expr("part div tokens").cast("long"))
     parts = durable(parts.select(*LEVELS, "__passes", (F.col("part") - F.col("__passes") * F.col("tokens")).cast("long").alias("__rest")))
-    placed = _with_order(rows.where("__tokens > 0").join(parts.where("__rest > 0"), LEVELS), mix).withColumn("slice", F.substring("__key", 1, 3))
+    placed = _with_order(rows.where("__tokens > 0").join(_lookup(parts.where("__rest > 0")), LEVELS), mix).withColumn("slice", F.substring("__key", 1, 3))
     sums = placed.groupBy(*LEVELS, "__rest", "slice").agg(F.sum("__tokens").alias("held"))
     upto = W.partitionBy(*LEVELS).orderBy("slice")
     sums = sums.withColumn("upto", F.sum("held").over(upto))
-    ends = sums.where("upto > __rest and upto - held <= __rest").select(*LEVELS, "slice", (F.col("upto") - F.col("held")).alias("before"))
+    ends = durable(sums.where("upto > __rest and upto - held <= __rest").select(*LEVELS, "slice", (F.col("upto") - F.col("held")).alias("before")))
     place = F.struct("__key", "__id", "__text_hash")
-    near = placed.join(ends, [*LEVELS, "slice"])
+    near = placed.join(_lookup(ends), [*LEVELS, "slice"])
     run = W.partitionBy(*LEVELS, "slice").orderBy("__key", "__id", "__text_hash")  # equal rows have an equal sum
     last = (
         near.withColumn("at", F.col("before") + F.sum("__tokens").over(run))
@@ -135,8 +140,7 @@ def leaf_plan(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def choose(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     """Adds `__copies`: how often each row is read. rows: LEVELS, __tokens, __id, __text_hash and others."""
-    small = plan.limit(MAX_BROADCAST_LEAVES + 1).count() <= MAX_BROADCAST_LEAVES
-    joined = _with_order(rows.join(F.broadcast(plan) if small else plan, LEVELS), mix)
+    joined = _with_order(rows.join(_lookup(plan), LEVELS), mix)
     before = F.coalesce(F.substring("__key", 1, 3) < F.col("__end_slice"), F.lit(False))
     inside = F.coalesce(F.struct("__key", "__id", "__text_hash") <= F.col("__cut"), F.lit(False))
     once = F.when((F.col("__tokens") > 0) & (F.col("__rest") > 0) & (before | inside), 1).otherwise(0)
