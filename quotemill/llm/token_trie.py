@@ -1,9 +1,9 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
-A text is cut into pre-tokens. The distinct pre-tokens of a task stand in a trie of their bytes; the
-best score of every prefix is computed once, when its node is made, from the nodes above it, and the
-number of tokens of that best path is stored at the node. A pre-token's count is the count of its
-last node; a document's count is the sum over its pre-tokens. No row is shuffled.
+A text is cut into pre-tokens. The distinct pre-tokens of many documents form a trie of their bytes;
+the best score of every prefix is computed once, from the nodes above it, with the number of tokens
+of that best path. A pre-token's count is that of its last node and is remembered; a document's
+count is the sum over its pre-tokens. No row is shuffled.
 
 The model: the pieces of a public vocabulary, scored by rank as a Zipf law, log p = -ln(rank + 2).
 The best segmentation has the largest sum; of equal sums, the fewest tokens.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, words, numbers and marks with the blank before them; runs of white space.
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A task's trie is started anew beyond this many nodes; longer pre-tokens are not stored in it.
-MAX_NODES, MAX_STORED = 300_000, 64
+#: Documents whose pre-tokens are walked together, and pre-token counts that a task remembers.
+WALKED_DOCS, REMEMBERED = 512, 300_000
 
 
 def load_scores(path: str = VOCABULARY) -> dict[bytes, float]:
@@ -37,52 +37,49 @@ def load_scores(path: str = VOCABULARY) -> dict[bytes, float]:
     return {piece: -math.log(rank + 2) for piece, rank in ranks.items()}
 
 
-class PrefixTrie:
-    """Best forward score and token count of every prefix seen, computed once each."""
+class TrieWalk:
+    """Token counts of pre-tokens by a depth-first walk over their trie.
+
+    Sorted pre-tokens come in the order in which such a walk meets the ends of their paths. The stack
+    holds best score and token count of every prefix on the current path: going on to the next
+    pre-token drops what it doesn't share and computes only its new nodes. So each node of the trie
+    is computed once, and memory is that of one path.
+    """
 
     def __init__(self, scores: dict[bytes, float]) -> None:
         self.scores = scores
-        self.longest = max(map(len, scores))
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.best, self.count = [0.0], [0]
-
-    def _extend(self, token: bytes, end: int, best: list[float], count: list[int]) -> tuple[float, int]:
-        """Score and count of token[:end]; best and count hold those of the shorter prefixes."""
-        scores, top, fewest = self.scores, -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            s = scores.get(token[start:end])
-            if s is not None:
-                s += best[start]
-                n = count[start] + 1
-                if s > top or (s == top and n < fewest):
-                    top, fewest = s, n
-        return top, fewest
-
-    def tokens(self, token: bytes) -> int:
-        if len(token) > MAX_STORED:
-            best, count = [0.0], [0]
-            for end in range(1, len(token) + 1):
-                s, n = self._extend(token, end, best, count)
-                best.append(s)
-                count.append(n)
-            return count[-1]
-        if len(self.best) > MAX_NODES:
-            self.clear()
-        node, best, count = 0, [0.0], [0]
-        for end, byte in enumerate(token, 1):
-            key = node << 8 | byte
-            node = self.child.get(key, 0)
-            if not node:
-                s, n = self._extend(token, end, best, count)
-                node = self.child[key] = len(self.best)
-                self.best.append(s)
-                self.count.append(n)
-            best.append(self.best[node])
-            count.append(self.count[node])
-        return count[-1]
+        lengths: dict[bytes, set[int]] = {}
+        for piece in scores:
+            lengths.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {tail: sorted(n) for tail, n in lengths.items()}  # lengths of the pieces with this end
+
+    def tokens(self, ordered: list[bytes]) -> list[int]:
+        """The token count of each pre-token; they must be sorted."""
+        scores, lengths = self.scores, self.lengths
+        best, count, path, out = [0.0], [0], b"", []
+        for token in ordered:
+            shared = 0
+            for shared, (x, y) in enumerate(zip(path, token, strict=False)):
+                if x != y:
+                    break
+            else:
+                shared = min(len(path), len(token))
+            del best[shared + 1 :], count[shared + 1 :]
+            for end in range(shared + 1, len(token) + 1):
+                top, fewest = best[end - 1] + scores[token[end - 1 : end]], count[end - 1] + 1
+                for n in lengths.get(token[end - 2 : end], ()) if end > 1 else ():
+                    if n > end:
+                        break
+                    s = scores.get(token[end - n : end])
+                    if s is not None:
+                        s += best[end - n]
+                        if s > top or (s == top and count[end - n] + 1 < fewest):
+                            top, fewest = s, count[end - n] + 1
+                best.append(top)
+                count.append(fewest)
+            path = token
+            out.append(count[-1])
+        return out
 
 
 def count_tokens(docs: DataFrame, scores: dict[bytes, float], id_col: str = "doc_id", text_col: str = "text", pattern: str = PRE_TOKEN) -> DataFrame:
@@ -96,26 +93,22 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], id_col: str = "doc
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, cut = PrefixTrie(sent.value), regex.compile(pattern)
+        walk, cut = TrieWalk(sent.value), regex.compile(pattern)
         known: dict[str, int] = {}
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for text in batch.column("text"):
-                text = text.as_py()
-                counts = Counter(cut.findall(text))
-                if len(known) > MAX_NODES:
+            for at in range(0, batch.num_rows, WALKED_DOCS):
+                part = batch.slice(at, WALKED_DOCS)
+                texts = part.column("text").to_pylist()
+                counts = [Counter(cut.findall(text)) for text in texts]
+                if len(known) > REMEMBERED:
                     known.clear()
-                total = 0
-                for token, times in counts.items():
-                    n = known.get(token)
-                    if n is None:
-                        n = trie.tokens(token.encode())
-                        if len(token) <= MAX_STORED:
-                            known[token] = n
-                    total += n * times
-                out.append((len(text.encode()), counts.total(), len(counts), total))
-            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_pretokens", "n_distinct", "n_tokens"])
+                new = sorted((t.encode(), t) for t in set().union(*counts).difference(known))
+                known.update(zip((t for _, t in new), walk.tokens([b for b, _ in new]), strict=True))
+                totals = [sum(known[t] * n for t, n in c.items()) for c in counts]
+                columns = [[len(t.encode()) for t in texts], [c.total() for c in counts], [len(c) for c in counts], totals]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "n_bytes", "n_pretokens", "n_distinct", "n_tokens"]
+                )
 
     return rows.mapInArrow(scan, "doc_id long, n_bytes long, n_pretokens long, n_distinct long, n_tokens long")
 

@@ -27,13 +27,20 @@ def brute(token: bytes, scores) -> int:
     return best[-1][1]
 
 
-def test_trie_equals_brute_force(scores, monkeypatch):
-    monkeypatch.setattr(token_trie, "MAX_NODES", 200)  # so that the trie starts anew
-    trie, rng = token_trie.PrefixTrie(scores), random.Random(1)
+def test_trie_equals_brute_force(scores):
+    walk, rng = token_trie.TrieWalk(scores), random.Random(1)
     tokens = ["".join(rng.choice("abcdeinst äß1 ") for _ in range(rng.randint(1, 30))).encode() for _ in range(300)]
-    tokens += [b"x" * 500, "日本語".encode() * 40, b"\x00\xff"]
-    for t in tokens:
-        assert trie.tokens(t) == brute(t, scores)
+    tokens += [b"", b"x" * 500, "日本語".encode() * 40, b"\x00\xff", b"the", b"then", b"the", b"th"]
+    ordered = sorted(tokens)
+    assert walk.tokens(ordered) == [brute(t, scores) for t in ordered]
+
+
+def test_a_full_memory_changes_nothing(spark, scores, monkeypatch):
+    docs = documents(spark).coalesce(1)
+    want = sorted(map(str, token_trie.count_tokens(docs, scores).collect()))
+    monkeypatch.setattr(token_trie, "REMEMBERED", 3)
+    monkeypatch.setattr(token_trie, "WALKED_DOCS", 2)
+    assert sorted(map(str, token_trie.count_tokens(docs, scores).collect())) == want
 
 
 def test_counts_of_edge_rows(spark, scores):
