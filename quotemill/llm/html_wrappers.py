@@ -48,6 +48,7 @@ NOISE_WORDS = frozenset(
     "breadcrumbs footer masthead comment comments respond discussion cookie cookies consent notice notices alert popup modal overlay newsletter "
     "subscribe signup share sharing social related recommended widget toolbar pagination pager disclaimer complementary contentinfo search".split()
 )
+FOREIGN_WORDS = frozenset("ad ads advert advertisement comment comments sponsored".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 NAMED = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -76,14 +77,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _noisy(name: str, attributes: str) -> bool:
+    """Whether the element is none of the article; an article's own class counts only if it says comment or advert."""
     if name in BOILERPLATE:
         return True
-    if "=" in attributes and name not in ("html", "body"):
-        for m in NAMED.finditer(attributes):
-            value = (m[1] or m[2] or m[3] or "").lower()
-            if NOISE_WORDS & set(re.split(r"[^a-z]+", value)):
-                return True
-    return False
+    if "=" not in attributes or name in ("html", "body"):
+        return False
+    words = FOREIGN_WORDS if name in ("article", "main") else NOISE_WORDS
+    return any(words & set(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())) for m in NAMED.finditer(attributes))
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool, bool]]:

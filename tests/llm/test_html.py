@@ -27,6 +27,7 @@ def test_odd_pages():
     assert h.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
     assert h.main_text("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><pre> e\n f </pre></article>") == "a\nb\nc\nd\ne f"
     assert h.main_text('<article><p>x <a href="b"y">z</a></article>') == "x z"
+    assert h.main_text('<article class="post related"><p>kept</p><section id="comments"><article class="comment">not</article></section></article>') == "kept"
 
 
 def test_folding_and_alignment():
