@@ -79,7 +79,7 @@ def metrics_of(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    is_stop = lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", "")).isin(STOP_WORDS)
+    is_stop = lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))).isin(STOP_WORDS)
 
     def counts(w: Column, ln: Column) -> Column:
         found = {
