@@ -31,10 +31,13 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ms: str, rig
 
 
 def arbitrage(pairs: DataFrame, spot: str = "spot_price", future: str = "future_price", min_rate: float = MIN_RATE, fee: float = FEE) -> DataFrame:
-    """Spread, rate (percent), direction and profit of each pair whose rate is strictly beyond `min_rate`."""
+    """Spread, rate (percent), direction and profit of each pair whose rate is strictly beyond `min_rate`.
+
+    Pairs without two positive prices go.
+    """
     s, f = F.col(spot).cast("double"), F.col(future).cast("double")
-    rate = F.round((f - s) / s, 6)
-    found = pairs.withColumn("spread", F.round(f - s, 8)).withColumn("rate", rate).where(F.abs("rate") > min_rate)
+    rate = F.round(F.try_divide(f - s, s), 6)
+    found = pairs.where((s > 0) & (f > 0)).withColumn("spread", F.round(f - s, 8)).withColumn("rate", rate).where(F.abs("rate") > min_rate)
     return found.select(
         "*",
         F.round(F.col("rate") * 100, 4).alias("spread_rate"),

@@ -20,7 +20,7 @@ def latest(rows: DataFrame, key: str = "inst_id", *order: str) -> DataFrame:
 
 
 def spread_percent() -> Column:
-    return F.round((F.col("ask") - F.col("bid")) / F.col("last") * 100, 4)
+    return F.round(F.try_divide(F.col("ask") - F.col("bid"), "last") * 100, 4)
 
 
 def latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LATEST = "latest AS (SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY inst_id ORDER BY ts DESC, seq DESC) = 1)"
 LATEST_PRICES = f"""WITH {TICKS}, {_LATEST}
-SELECT inst_id, ms AS ts_ms, last, round(bid, 6) AS bid, round(ask, 6) AS ask, volume_24h, round((ask - bid) / last * 100, 4) AS spread_percent FROM latest"""
+SELECT inst_id, ms AS ts_ms, last, round(bid, 6) AS bid, round(ask, 6) AS ask, volume_24h, round((ask - bid) / nullif(last, 0) * 100, 4) AS spread_percent FROM latest"""
 
 
 def top_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,13 +47,13 @@ def day_range_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("last").alias("high"), F.min("last").alias("low"), F.avg("last").alias("mean"), F.count("*").alias("n")
     )
     spread = F.col("high") - F.col("low")
-    return rows.select("inst_id", "high", "low", F.round("mean", 6).alias("mean"), F.round(spread, 6).alias("range"), F.round(spread / F.col("low") * 100, 4).alias("range_percent"), "n").orderBy(F.desc("range_percent"))
+    return rows.select("inst_id", "high", "low", F.round("mean", 6).alias("mean"), F.round(spread, 6).alias("range"), F.round(F.try_divide(spread, "low") * 100, 4).alias("range_percent"), "n").orderBy(F.desc("range_percent"))
 
 
 _AS_OF = "now AS (SELECT max(ts) AS t FROM ticks)"
 DAY_RANGE_STATS = f"""WITH {TICKS}, {_AS_OF}
 SELECT inst_id, max(last) AS high, min(last) AS low, round(avg(last), 6) AS mean, round(max(last) - min(last), 6) AS range,
-       round((max(last) - min(last)) / min(last) * 100, 4) AS range_percent, count(*) AS n
+       round((max(last) - min(last)) / nullif(min(last), 0) * 100, 4) AS range_percent, count(*) AS n
 FROM ticks, now WHERE ts >= t - INTERVAL 24 HOUR GROUP BY inst_id"""
 
 
@@ -71,7 +71,7 @@ def spread_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPREAD_ANALYSIS = f"""WITH {TICKS}, {_LATEST}
-SELECT inst_id, round(ask - bid, 6) AS spread, round((ask - bid) / last * 100, 4) AS spread_percent FROM latest"""
+SELECT inst_id, round(ask - bid, 6) AS spread, round((ask - bid) / nullif(last, 0) * 100, 4) AS spread_percent FROM latest"""
 
 
 def top_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +119,12 @@ def change_since(spark: SparkSession, sf_dir: str, hours: int = 24) -> DataFrame
         F.max_by("last", F.when(F.col("ts") <= F.col("t") - F.expr(f"INTERVAL {hours} HOURS"), order)).alias("price_before"),
     )
     change = F.col("price_now") - F.col("price_before")
-    return joined.where("price_before is not null").select("inst_id", "price_now", "price_before", F.round(change, 6).alias("change"), F.round(change / F.col("price_before") * 100, 4).alias("change_percent")).orderBy(F.desc("change_percent"))
+    return joined.where("price_before is not null").select("inst_id", "price_now", "price_before", F.round(change, 6).alias("change"), F.round(F.try_divide(change, "price_before") * 100, 4).alias("change_percent")).orderBy(F.desc("change_percent"))
 
 
 CHANGE_SINCE = f"""WITH {TICKS}, {_AS_OF}, {_LATEST},
 early AS (SELECT inst_id, arg_max(last, (ts, seq)) AS price_before FROM ticks, now WHERE ts <= t - INTERVAL 24 HOUR GROUP BY 1)
-SELECT inst_id, last AS price_now, price_before, round(last - price_before, 6) AS change, round((last - price_before) / price_before * 100, 4) AS change_percent
+SELECT inst_id, last AS price_now, price_before, round(last - price_before, 6) AS change, round((last - price_before) / nullif(price_before, 0) * 100, 4) AS change_percent
 FROM latest JOIN early USING (inst_id)"""
 
 

@@ -210,7 +210,7 @@ def arbitrage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARBITRAGE = f"""WITH {TICKS}, p AS (SELECT a.user_id AS symbol, a.seq AS spot_seq, b.seq AS swap_seq, a.last AS s, b.last AS f FROM ticks a JOIN ticks b
-  ON a.user_id = b.user_id AND a.seq % 2 = 0 AND b.seq % 2 = 1 AND b.ms BETWEEN a.ms - 3600000 AND a.ms + 3600000)
+  ON a.user_id = b.user_id AND a.seq % 2 = 0 AND b.seq % 2 = 1 AND b.ms BETWEEN a.ms - 3600000 AND a.ms + 3600000 AND a.last > 0 AND b.last > 0)
 SELECT symbol, spot_seq, swap_seq, round(f - s, 6) AS spread, round(round((f - s) / s, 6) * 100, 4) AS spread_rate, CASE WHEN f > s THEN 'LONG_SPOT_SHORT_FUTURE' ELSE 'SHORT_SPOT_LONG_FUTURE' END AS direction,
        round(abs(round(f - s, 8)) - 0.002::DOUBLE * s, 6) AS profit_estimate FROM p WHERE abs(round((f - s) / s, 6)) > 0.005"""
 

@@ -62,7 +62,7 @@ def test_interval_bounds(spark):
 
 
 def test_arbitrage_is_strict(spark):
-    pairs = spark.createDataFrame([(1000.0, 1005.0), (1000.0, 1006.0), (1000.0, 994.0)], "spot_price double, future_price double")
+    pairs = spark.createDataFrame([(1000.0, 1005.0), (1000.0, 1006.0), (1000.0, 994.0), (0.0, 5.0), (5.0, 0.0), (None, 1.0)], "spot_price double, future_price double")
     got = sorted((r.spread_rate, r.direction, r.profit_estimate) for r in joins.arbitrage(pairs).collect())
     assert got == [(-0.6, "SHORT_SPOT_LONG_FUTURE", 4.0), (0.6, "LONG_SPOT_SHORT_FUTURE", 4.0)]
 
