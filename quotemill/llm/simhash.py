@@ -19,7 +19,7 @@ only a spanning forest of its rows, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -172,13 +172,14 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """Keep one document of each group: the row whose doc_id is the component's smallest.
 
+    find: gives doc_id and component_id of each row.
     Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id can't
     be named and stay. All columns of `docs` are returned.
     """
-    found = near_duplicates(docs)
+    found = find(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
