@@ -171,6 +171,19 @@ SELECT epoch_ms(window_start) + 3600000 AS window_end, 'VOLUME' AS ranking_type,
   SELECT *, row_number() OVER (PARTITION BY window_start, bars ORDER BY metric_value DESC, inst_id) AS rank_no FROM l) WHERE rank_no <= 2"""
 
 
+def ranking_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.rankings(metrics.realtime_metrics(hourly_bars(spark, sf_dir)), 2)
+    return _ms(out, "window_end").select("window_end", "ranking_type", "bars", "rank_no", "inst_id", "metric_value")
+
+
+_KINDS = [(kind, n, f"{c}_{n}", side) for kind, c, side in (("GAIN", "change_rate", 1), ("LOSS", "change_rate", -1), ("VOLATILITY", "volatility", 1)) for n in metrics.LAGS]
+_KINDS += [("VOLUME", n, f"volume_{n}", 1) for n in metrics.SUMS]
+RANKING_KINDS = f"""WITH {TICKS}, {_HOURLY}, {_METRICS},
+l AS ({' UNION ALL '.join(f"SELECT inst_id, window_start, '{k}' AS ranking_type, {n} AS bars, CAST({c} AS DOUBLE) AS metric_value, {side} AS side FROM r" for k, n, c, side in _KINDS)})
+SELECT epoch_ms(window_start) + 3600000 AS window_end, ranking_type, bars, CAST(rank_no AS INTEGER) AS rank_no, inst_id, metric_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_start, ranking_type, bars ORDER BY metric_value * side DESC NULLS LAST, inst_id) AS rank_no FROM l) WHERE rank_no <= 2"""
+
+
 def jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.flag_jumps(ticks(spark, sf_dir)).where("is_anomaly").select("inst_id", "seq", "last")
 
@@ -367,6 +380,7 @@ _ALL = {
     "rolling_metrics": (rolling_metrics, ROLLING_METRICS),
     "market_overview": (overview, OVERVIEW),
     "rankings": (ranking, RANKING),
+    "ranking_kinds": (ranking_kinds, RANKING_KINDS),
     "price_jumps": (jumps, JUMPS),
     "market_monitor": (monitored, MONITORED),
     "monitor_top_volatility": (volatile, None),

@@ -16,3 +16,8 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", ["presets_candles", "trades_advanced", "preset_coverage", "monitor_top_volatility", "trading_signals"])
 def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, str(DATA)).count() > 0
+
+
+def test_every_kind_of_ranking_comes_out(spark):
+    kinds = {r.ranking_type for r in catalogue.QUERIES["ranking_kinds"](spark, str(DATA)).select("ranking_type").distinct().collect()}
+    assert kinds == {"GAIN", "LOSS", "VOLATILITY", "VOLUME"}
