@@ -9,8 +9,9 @@ all pages gathers in no task.
 
 Extraction: each page is read with its host's wrapper. Text in an article (else in a main element)
 is content, without what stands in menus, page headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments. On a page with neither element, texts that the wrapper found constant
-on all the host's pages are template and are left out too.
+scripts, styles and comments. On a page with neither element, texts that stand where the wrapper has
+the same text on all the host's pages are template and are left out too, unless nothing else is left.
+A template needs several differing pages of a named host; copies of one page make none.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,16 +135,19 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool]]:
     return out
 
 
-def main_text(page: str | None, constants: frozenset[str] = frozenset()) -> str:
-    """The article's blocks joined by line feeds. constants: the host's template texts."""
-    found = [b for b in blocks(page or "") if not b[3]]
+def main_text(page: str | None, constants: frozenset[str] = frozenset(), wrapper: list[list] | None = None) -> str:
+    """The article's blocks joined by line feeds. constants: template texts; wrapper: the host's, whose constants go by position."""
+    every = blocks(page or "")
+    found = [b for b in every if not b[3]]
     article = [b[0] for b in found if b[1]]
     if article:
         return "\n".join(article)
     main = [b[0] for b in found if b[2]]
     if main:
         return "\n".join(main)
-    return "\n".join(b[0] for b in found if b[0] not in constants)
+    template = template_blocks(page, wrapper) if wrapper else frozenset()
+    kept = [b for at, b in enumerate(every) if not b[3] and at not in template and b[0] not in constants]
+    return "\n".join(b[0] for b in (kept if kept or not wrapper else found))
 
 
 # A wrapper item is [token, optional, constant text or None]; the token of a text is "#", a repeated
@@ -169,6 +174,12 @@ def fold(stream: list[str], longest: int = LONGEST_RUN) -> list[str]:
     return stream
 
 
+class Slot(str):
+    """The token of a text that knows which of the page's texts it is."""
+
+    at: int
+
+
 def page_items(page: str | None) -> list[list]:
     """The folded token stream of one page; inline tags and attributes other than class don't count."""
     stream: list[str] = []
@@ -177,7 +188,8 @@ def page_items(page: str | None) -> list[list]:
         if kind == "text":
             text = " ".join(html.unescape(value).split())
             if text and not (stream and stream[-1] == "#"):
-                stream.append("#")
+                stream.append(Slot("#"))
+                stream[-1].at = len(texts)
                 texts.append(text)
             elif text:
                 texts[-1] += " " + text
@@ -224,6 +236,20 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
+def template_blocks(page: str | None, wrapper: list[list]) -> frozenset[int]:
+    """Numbers of the page's texts that stand where the wrapper has the same constant text on every page."""
+    items = page_items(page)
+    texts = {x[0].at: x[2] for x in items if isinstance(x[0], Slot)}
+    groups = {x[0] for x in wrapper + items if x[0].endswith(")+")}
+    items, wrapper = _absorb(items, groups), _absorb(wrapper, groups)
+    out = []
+    for i, j, size in SequenceMatcher(None, [x[0] for x in items], [x[0] for x in wrapper], autojunk=False).get_matching_blocks():
+        for x, y in zip(items[i : i + size], wrapper[j : j + size], strict=True):
+            if isinstance(x[0], Slot) and y[2] is not None and not y[1] and texts[x[0].at] == y[2]:
+                out.append(x[0].at)
+    return frozenset(out)
+
+
 def as_pattern(items: list[list]) -> str:
     """The wrapper as a union-free regular expression."""
     shown = [(json.dumps(x[2], ensure_ascii=False) if x[2] is not None else x[0], x[1]) for x in items]
@@ -231,8 +257,9 @@ def as_pattern(items: list[list]) -> str:
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", fan_in: int = FAN_IN) -> DataFrame:
-    """(host, n_pages, wrapper): the wrapper of every host as a JSON list of items.
+    """(host, n_pages, seen, wrapper): the wrapper of every host as a JSON list of items.
 
+    seen: hashes of up to MIN_SUPPORT of the host's differing pages, so that copies of a page support no template.
     A null or odd url belongs to the host ''. A null page is an empty stream. Alignment order is fixed
     by the streams' text, so the result doesn't depend on partitions once skeletons are merged.
     """
@@ -245,18 +272,23 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             hosts = [h for h, _ in merged]
             wrappers = [json.dumps(m[1]) for m in merged.values()]
             counts = [m[0] for m in merged.values()]
+            seen = [sorted(m[2]) for m in merged.values()]
             merged.clear()
-            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(counts, pa.int64()), pa.array(wrappers, pa.string())], ["host", "n_pages", "wrapper"])
+            columns = [pa.array(hosts, pa.string()), pa.array(counts, pa.int64()), pa.array(seen, pa.list_(pa.int64())), pa.array(wrappers, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["host", "n_pages", "seen", "wrapper"])
 
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 items = page_items(page.as_py())
+                content = xxhash.xxh64_intdigest((page.as_py() or "").encode()) - (1 << 63)
                 key = (host, " ".join(x[0] for x in items))
                 if key not in merged:
-                    merged[key] = [1, items]
+                    merged[key] = [1, items, {content}]
                     continue
                 held = merged[key]
                 held[0] += 1
+                if len(held[2]) < MIN_SUPPORT:
+                    held[2].add(content)
                 for x, y in zip(held[1], items, strict=True):
                     x[2] = x[2] if x[2] == y[2] else None
             if len(merged) > 1000:
@@ -268,9 +300,10 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         items = json.loads(found[0][0])
         for text, _ in found[1:]:
             items = align(items, json.loads(text))
-        return pa.table({"host": [table.column("host")[0].as_py()], "n_pages": [sum(n for _, n in found)], "wrapper": [json.dumps(items)]})
+        seen = pa.array([sorted({x for s in table.column("seen").to_pylist() for x in s})[:MIN_SUPPORT]], pa.list_(pa.int64()))
+        return pa.table({"host": [table.column("host")[0].as_py()], "n_pages": [sum(n for _, n in found)], "seen": seen, "wrapper": [json.dumps(items)]})
 
-    schema = "host string, n_pages long, wrapper string"
+    schema = "host string, n_pages long, seen array<long>, wrapper string"
     current = durable(rows.mapInArrow(scan, schema))
     while True:
         most = current.groupBy("host").count().agg(F.max("count")).first()[0] or 0
@@ -288,22 +321,22 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     their own. Cut-off pages end all their elements at their end. Whole pages are read. An empty table
     gives an empty result. Other columns aren't read.
     """
-    wrappers = durable(infer_wrappers(pages, url_col, html_col).where(F.col("n_pages") >= MIN_SUPPORT))
+    wrappers = durable(infer_wrappers(pages, url_col, html_col).where((F.size("seen") >= MIN_SUPPORT) & (F.col("host") != "")))
     size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0]
     wrappers = wrappers.select("host", "wrapper")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = rows.join(F.broadcast(wrappers) if size <= MAX_BROADCAST_BYTES else wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, frozenset[str]] = {None: frozenset()}
+        known: dict[str | None, list[list] | None] = {None: None}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column("html"), batch.column("wrapper").to_pylist(), strict=True):
                 if wrapper not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[wrapper] = frozenset(x[2] for x in json.loads(wrapper) if x[2] is not None and not x[1]) if wrapper else frozenset()
-                texts.append(main_text(page.as_py(), known[wrapper]))
+                    known[wrapper] = json.loads(wrapper)
+                texts.append(main_text(page.as_py(), wrapper=known[wrapper]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )

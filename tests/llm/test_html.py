@@ -69,3 +69,19 @@ def test_template_texts_go_where_no_article_is_marked(spark):
     assert h.extract_text(pages(spark, rows).where("false")).count() == 0
     by_join = h.extract_text(pages(spark, rows))
     assert {r.page_id: r.text for r in by_join.collect()}[9].startswith("Head & more\nFirst line")
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    same = "<html><body><h1>T</h1><p>A</p></body></html>"
+    rows = [(i, "http://h.org/x", same) for i in range(3)] + [(100 + i, "http://k.org/x", same) for i in range(2000)] + [(5000 + i, "odd", f"<p>same</p><p>{i}</p>") for i in range(4)]
+    got = {r.page_id: r.text for r in h.extract_text(pages(spark, rows)).collect()}
+    assert {v for k, v in got.items() if k < 5000} == {"T\nA"} and got[5001] == "same\n1"
+
+
+def test_template_texts_go_by_position(spark):
+    of = lambda i, text: f"<body><div class='top'>Notice</div><ul><li>{i}</li></ul><section><p>{text}</p></section></body>"
+    rows = [(i, "http://h.org/x", of(i, f"text {i}")) for i in range(4)] + [(9, "http://h.org/x", of(9, "Notice"))]
+    got = {r.page_id: r.text for r in h.extract_text(pages(spark, rows)).collect()}
+    assert got[1] == "1\ntext 1" and got[9] == "9\nNotice"
+    only = [[["<p>", False, None], ["#", False, "all"], ["</p>", False, None]]]
+    assert h.main_text("<p>all</p>", wrapper=only[0]) == "all"
