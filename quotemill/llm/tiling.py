@@ -1,7 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Rolling (Karp-Rabin) hashes of five words are computed for all benchmark items and all documents; a
-Spark join on the hash gives the shared seeds. Seeds on one diagonal that follow each other form a
+Spark join on the hash gives the shared seeds. A tile of t words holds t - 4 seeds, t / 5 at least, so a
+document that covers 80 % of an item of L words meets h = 0.16 L of the item's seeds at least, rounded up.
+It still meets one if the h - 1 seeds that most documents have are left out, so only the others make a pair
+of document and item; all seeds are then joined for these pairs alone. Seeds on one diagonal that follow each other form a
 match; for every pair of document and item the longest match of unmarked words is marked again and
 again until none of five words is left. The tiles may stand in any order, so reordered passages are
 found too. An item whose words are covered up to the threshold contaminates the document.
@@ -16,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import whole_runs
+from quotemill.llm.common import durable, whole_runs
 
 SEED_WORDS, THRESHOLD = 5, 0.8
 #: Hashes of the benchmark are sent to all tasks up to this many (16 MB); beyond it, a join alone filters.
@@ -33,8 +37,9 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def rolling_hashes(words: list[bytes], known: dict[bytes, int], size: int = SEED_WORDS) -> np.ndarray:
-    """Signed 64-bit Karp-Rabin hashes of all runs of `size` words. known: word hashes so far."""
-    if len(words) < size:
+    """Signed 64-bit Karp-Rabin hashes of all runs of `size` words, of all words if there are fewer. known: word hashes so far."""
+    size = min(size, len(words))
+    if not size:
         return np.array([], np.int64)
     for w in set(words):
         if w not in known:
@@ -44,6 +49,8 @@ def rolling_hashes(words: list[bytes], known: dict[bytes, int], size: int = SEED
     out = np.zeros(n, np.uint64)
     for k in range(size):
         out = out * _BASE + h[k : k + n]
+    if size < SEED_WORDS:
+        out = out * _BASE + np.uint64(size)
     return out.view(np.int64)
 
 
@@ -106,11 +113,12 @@ def _seed_rows(frame: DataFrame, keys: list[str], sent=None) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_sent: int = MAX_SENT_SEEDS) -> DataFrame:
     """(doc_id, text_hash, item_id, coverage, n_tiles, longest) for each contaminated pair.
 
-    docs: doc_id, text; benchmark: item_id, text. Null and short texts (under five words) have no
-    seeds and never match. Items with a null id can't be named and are left out; documents with a
-    null id are reported with it. Repeated rows (same id and text) count once; texts that share an id
-    are judged one by one. Ties between tiles go to the earlier word. An empty table on either side
-    gives an empty result. Other columns aren't read.
+    docs: doc_id, text; benchmark: item_id, text. Null and wordless texts never match. An item of
+    fewer than five words is met only by a document of just these words. Items with a null id can't be
+    named and are left out; documents with a null id are reported with it. Repeated rows (same id and
+    text) count once; texts that share an id are judged one by one. Ties between tiles go to the earlier
+    word; of seeds that equally many documents have, the later ones are left out. An empty table on
+    either side gives an empty result. Other columns aren't read.
     """
     context = docs.sparkSession.sparkContext
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("binary").alias("body"))
@@ -121,8 +129,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         sent = context.broadcast(np.sort(np.array([r[0] for r in few.toLocalIterator()], np.int64)))
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
-    hits = _seed_rows(rows, ["doc", "text_hash"], sent).drop("n_words").join(seeds, "hash")
-    dealt = hits.select(F.col("doc").isNull().alias("no_id"), F.coalesce("doc", F.lit(0)).alias("doc"), "text_hash", "item", "pos", "item_pos", "item_words")
+    found = _seed_rows(rows, ["doc", "text_hash"], sent).select(F.col("doc").isNull().alias("no_id"), F.coalesce("doc", F.lit(0)).alias("doc"), "text_hash", "pos", "hash")
+    whole = ["no_id", "doc", "text_hash"]
+    if sent is None:
+        found = found.join(seeds.select("hash").distinct(), "hash", "left_semi")
+    found = durable(found)
+    busy = found.groupBy("hash").agg(F.count("*").alias("n"))
+    seeds = durable(seeds.join(busy, "hash"))
+    spare = F.ceil(F.col("item_words") * (threshold / SEED_WORDS) - 1e-9) - 1
+    place = F.row_number().over(W.partitionBy("item").orderBy(F.desc("n"), F.desc("item_pos")))  # an item is a row
+    rare = seeds.withColumn("place", place).where(F.col("place") > spare).select("hash", "item").distinct()
+    pairs = found.select(*whole, "hash").distinct().join(rare, "hash").select(*whole, "item").distinct()
+    hits = found.join(pairs, whole).join(seeds.select("item", "hash", "item_pos", "item_words"), ["item", "hash"])
+    dealt = hits.select(*whole, "item", "pos", "item_pos", "item_words")
     keys = ["no_id", "doc", "text_hash", "item"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -134,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             total = table.column("item_words").to_numpy()[starts]
             cover, tiles, longest = [], [], []
             for a, b, n in zip(starts, ends, total, strict=True):
-                found = greedy_tiles(pos[a:b], item_pos[a:b])
+                found = greedy_tiles(pos[a:b], item_pos[a:b], min(SEED_WORDS, int(n)))
                 cover.append(sum(t[2] for t in found) / n)
                 tiles.append(len(found))
                 longest.append(max(t[2] for t in found))
