@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Contractions, words, numbers and marks with the blank before them; runs of white space.
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Documents whose pre-tokens are walked together, and pre-token counts that a task remembers.
-WALKED_DOCS, REMEMBERED = 512, 300_000
+#: Documents and bytes of text whose pre-tokens are walked together, and pre-token counts that a task remembers.
+WALKED_DOCS, WALKED_BYTES, REMEMBERED = 512, 8 << 20, 300_000
 
 
 def load_scores(path: str = VOCABULARY) -> dict[bytes, float]:
@@ -82,6 +83,18 @@ class TrieWalk:
         return out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most WALKED_DOCS rows and, unless a single text is longer, WALKED_BYTES of text."""
+    at = size = 0
+    for row, n in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+        if row - at == WALKED_DOCS or (row > at and size + n > WALKED_BYTES):
+            yield batch.slice(at, row - at)
+            at, size = row, 0
+        size += n
+    if batch.num_rows > at:
+        yield batch.slice(at)
+
+
 def count_tokens(docs: DataFrame, scores: dict[bytes, float], id_col: str = "doc_id", text_col: str = "text", pattern: str = PRE_TOKEN) -> DataFrame:
     """(doc_id, n_bytes, n_pretokens, n_distinct, n_tokens) per row of `docs`.
 
@@ -96,8 +109,7 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], id_col: str = "doc
         walk, cut = TrieWalk(sent.value), regex.compile(pattern)
         known: dict[str, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, WALKED_DOCS):
-                part = batch.slice(at, WALKED_DOCS)
+            for part in _slices(batch):
                 texts = part.column("text").to_pylist()
                 counts = [Counter(cut.findall(text)) for text in texts]
                 if len(known) > REMEMBERED:
