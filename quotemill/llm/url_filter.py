@@ -8,6 +8,7 @@ their SHA-256; a meeting counts only if the full digests agree; of the rules lef
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import let
@@ -70,7 +71,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_co
         raise ValueError("a rule's path must end with a slash")
     labels, longest, count = bounds[0] or 1, bounds[1] or 1, bounds[2]
     text = F.concat("r_host", "r_path")
-    wanted = marked.select("r_host", "r_path", "r_verdict", F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256).alias("r_digest"), text.alias("rule"))
+    order = [F.length(text), F.length("r_host"), F.col("r_verdict") == "block", text, F.col("r_verdict")]
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))  # the rules are a parameter
+    ranked = marked.select("r_host", "r_path", "r_verdict", text.alias("rule"), place.alias("rank"))
+    wanted = ranked.select("rank", F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256).alias("r_digest"))
     wanted = wanted.withColumn("r_short", F.substring("r_digest", 1, 8))
     wanted = F.broadcast(wanted) if count <= MAX_BROADCAST_RULES else wanted
     urls = pages.select(
@@ -85,13 +89,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_co
     digest = F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256)
     tried = two.select("row", "page_id", "host", "path", digest.alias("digest")).withColumn("short", F.substring("digest", 1, 8))
     met = tried.join(wanted, tried["short"] == wanted["r_short"], "left")
-    rank = F.struct(
-        F.length("rule").alias("size"), F.length("r_host").alias("host"), (F.col("r_verdict") == "block").alias("block"), F.col("rule"), F.col("r_verdict")
-    )
-    fits = F.when(F.col("digest") == F.col("r_digest"), rank)
-    best = met.groupBy("row", "page_id", "host", "path").agg(F.max(fits).alias("best"))
-    verdict = F.coalesce("best.r_verdict", F.lit(default))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    fits = F.when(F.col("digest") == F.col("r_digest"), F.col("rank"))
+    best = met.groupBy("row", "page_id", "host", "path").agg(F.max(fits).alias("rank"))
+    ranked = ranked.select("rank", "rule", "r_verdict")
+    judged = best.join(F.broadcast(ranked) if count <= MAX_BROADCAST_RULES else ranked, "rank", "left")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("r_verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE_SQL = rf"""
