@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns of `df` in one struct, so that none of them can clash with an operator's own."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns if c not in without])
+
+
 def join_spread(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join rows to a table with one row per key, so that the rows of one busy key can be split.
 

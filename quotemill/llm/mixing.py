@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import durable
+from quotemill.llm.common import durable, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 EXACT = "decimal(38,0)"
@@ -170,12 +170,11 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col="doc_id", text_col="te
 
 
 def take_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
-    """The chosen rows of `docs` with all their columns, each as often as it is read."""
-    names = docs.columns
+    """The chosen rows of `docs` with all their columns, of any names, each as often as it is read."""
     own = _rows(docs, "doc_id", "text", "lang", "source")
     slim = durable(docs.select(*own))
-    chosen = choose(docs.select(*names, *own), leaf_plan(slim, mix), mix).where("__copies > 0")
-    return chosen.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*names)
+    chosen = choose(docs.select(whole_row(docs).alias("__row"), *own), leaf_plan(slim, mix), mix).where("__copies > 0")
+    return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
 
 
 def _fill_sql(src: str, parents: str, name: str) -> str:

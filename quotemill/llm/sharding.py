@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quotemill.llm.common import whole_row
+
 SHARDS, SEED, ROUNDS = 8, 20240229, 6
 #: Rows that a bucket holds on average, and the fewest buckets.
 BUCKET_ROWS, MIN_BUCKETS = 50_000, 1024
@@ -73,19 +75,20 @@ def number_rows(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
 
 
 def shard_rows(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """`rows` with `shard` 0..shards-1 and `slot` 0,1,2...; a column with such a name is replaced.
+    """`rows` with `shard` 0..shards-1 and `slot` 0,1,2... at the end; columns with these names are replaced.
 
     The result depends on the values in `keys`, the number of rows and the seed, not on partitions.
-    Nulls are values like any other. Equal rows are interchangeable. An empty table gives an empty
-    result. The row count is the only value that the driver reads.
+    Nulls are values like any other. Rows with equal keys are interchangeable. An empty table gives an
+    empty result. The row count is the only value that the driver reads.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     total = rows.count()
+    named = [f"__key{i}" for i in range(len(keys))]
+    packed = rows.select(whole_row(rows, ("shard", "slot")).alias("__row"), *[rows[f"`{k}`"].alias(n) for k, n in zip(keys, named, strict=True)])
     place = permute(F.col("__number"), max(total, 1), seed)
-    numbered = number_rows(rows.drop("shard", "slot"), keys, total).withColumn("__moved", place)
-    slot = F.expr(f"__moved div {int(shards)}")
-    return numbered.withColumn("shard", F.pmod("__moved", F.lit(shards)).cast("int")).withColumn("slot", slot).drop("__number", "__moved")
+    moved = number_rows(packed, named, total).select("__row", place.alias("__moved"))
+    return moved.select("__row.*", F.pmod("__moved", F.lit(shards)).cast("int").alias("shard"), F.expr(f"__moved div {int(shards)}").alias("slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -100,7 +103,6 @@ def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All columns of `docs` with `shard` and `slot` at the end."""
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    out = shard_rows(hashed, ["doc_id", "__text_hash"], shards)
-    return out.select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    """All columns of `docs`, of any names, with `shard` and `slot` at the end."""
+    packed = docs.select(whole_row(docs, ("shard", "slot")).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return shard_rows(packed, ["doc_id", "text_hash"], shards).select("row.*", "shard", "slot")

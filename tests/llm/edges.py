@@ -22,7 +22,9 @@ TEXTS = [
     (10, "\n", "en", "src12345678901234567890"),
 ]
 #: Names that the operators use themselves.
-CLASHES = ["row", "words", "fingerprint", "fp", "component_id", "shard", "slot", "tokens", "copies", "rest", "passes", "item_id", "coverage", "hash", "band", "n_words", "kept", "size"]
+CLASHES = ["row", "words", "fingerprint", "fp", "component_id", "shard", "slot", "tokens", "copies", "rest", "passes", "item_id", "coverage", "hash", "band", "n_words", "kept", "size"] + [
+    f"__{c}" for c in "row tokens rest copy copies passes domain language source id text_hash key key0 slice number bucket moved place offset gone again slot docs metrics failed kept base_failed".split()
+]
 
 
 def documents(spark: SparkSession, rows=TEXTS) -> DataFrame:

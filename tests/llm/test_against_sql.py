@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 
 from quotemill.llm import license_scan, line_dedup, mixing, quality, url_filter
+from tests.llm import plain as brute
 from tests.llm.edges import documents, empty
 
 URLS = [
@@ -126,3 +129,42 @@ def test_taken_rows_repeat_and_keep_their_columns(spark):
     for r in taken.collect():
         found[r.doc_id] = found.get(r.doc_id, 0) + 1
     assert found == copies
+
+
+def test_scattered_words_are_no_license(spark):
+    rows = [
+        (1, "all rights x " * 100 + "rights reserved", "en", "s"),
+        (2, "mozilla public a b public license a b license version 2 a b version 2 0", "en", "s"),
+        (3, "reserved rights all. version 2 0 license public mozilla", "en", "s"),
+        (4, "x y Mozilla Public License, Version 2.0 and all rights are reserved", "en", "s"),
+        (5, "reserved all rights " * 50, "en", "s"),
+    ]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert [got[i].labels for i in (1, 2, 3)] == ["", "", ""]
+    assert got[4].labels == "mpl" and [tuple(s) for s in got[4].spans] == [("mpl", 2, 7, 1.0)]
+    assert got[5].labels == "all-rights-reserved" and all(s.last_word - s.first_word == 2 for s in got[5].spans)
+    report = license_scan.license_report(docs)
+    assert plain(report.collect()) == plain(sql_rows(license_scan.ORACLE_SQL, report.columns, documents=docs.select("doc_id", "text")))
+
+
+def test_lines_of_rows_without_an_id(spark):
+    """Each text is a document of its own; of two, the one with the smaller hash keeps the line."""
+    shared = "a line that is shared by all of them"
+    rows = [(None, f"{shared}\nown {i % 7}", "en", "s") for i in range(30)] + [(5, f"first\n{shared}", "en", "s"), (9, shared, "en", "s"), (9, f"x\n{shared}", "en", "s")]
+    docs = documents(spark, rows)
+    kept = line_dedup.drop_duplicate_lines(docs).collect()
+    assert sorted(r.text for r in kept if r.doc_id is None) == sorted(f"own {i % 7}" for i in range(30))
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(5, f"first\n{shared}"), (9, ""), (9, "x")]
+    alone = docs.where("doc_id is null")
+    assert sum(shared in r.text for r in line_dedup.drop_duplicate_lines(alone).collect()) in (4, 5)  # the rows of one text
+    report = line_dedup.line_dedup_report(alone)
+    assert plain(report.collect()) == plain(sql_rows(line_dedup.ORACLE_SQL, report.columns, documents=alone.select("doc_id", "text")))
+
+
+@pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(budget_percent=60, max_epochs=1), mixing.Mix(budget_percent=150, weights=({"web": 0, "news": 3}, {"en": 7}, {"src3": 50}), default=2, seed=3)])
+def test_the_mix_equals_iterative_water_filling(spark, mix):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.choice((0, 1, 5, 40, 300)), rng.choice(("en", "en", "de", "xx", None)), rng.choice(("src1", "src2", "src3", "src6", "odd", None))) for i in range(150)]
+    got = {r.doc_id: r.copies for r in mixing.mix_sources(documents(spark, rows), mix).collect()}
+    assert got == brute.mixed(rows, mix) and len(got) > 40

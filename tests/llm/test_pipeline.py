@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from quotemill.llm import quality, simhash, tiling
+from quotemill.llm import near_copies, quality, sharding, simhash, tiling
+from tests.llm import plain
 from tests.llm.edges import documents
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -40,6 +43,38 @@ def test_every_stage_on_what_the_one_before_kept(spark, tmp_path):
     assert key(final) == key(docs)
 
 
+def test_the_pipeline_equals_plain_python(spark, tmp_path):
+    """All stages again, one row at a time: same documents, shards and slots."""
+    rng = random.Random(8)
+    items = [(k, " ".join(f"q{k}x{rng.randint(0, 40)}" for _ in range(12))) for k in range(6)]
+    docs = []
+    for i in range(170):
+        words = text(i).split()[: rng.choice((30, 70, 80, 100))]
+        if i % 9 == 0 and docs:
+            words = (rng.choice(docs)[1] or "").split()
+            for at in rng.sample(range(len(words)), min(len(words), rng.randint(0, 4))):
+                words[at] = f"new{i}"
+        if i % 10 == 3:
+            words += rng.choice(items)[1].split()
+        if i % 23 == 5:
+            words = ["###"] * 20 + words
+        docs.append((i, " ".join(words) if i % 31 else None, rng.choice(("en", "de", None)), rng.choice(("src1", "src2", "src7", None))))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    documents(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    stages = [docs]
+    stages.append([d for d in stages[-1] if plain.good(d[1], quality.THRESHOLDS, quality.STOP_WORDS)])
+    stages.append([stages[-1][i] for i in plain.firsts(stages[-1], near_copies.SIMILARITY)])
+    leaked = {d for d, *_ in plain.leaks(stages[-1], items, tiling.THRESHOLD)}
+    stages.append([d for d in stages[-1] if d[0] not in leaked])
+    copies = plain.mixed(stages[-1], corpus_pipeline.PIPELINE_MIX)
+    stages.append([d for i, d in enumerate(stages[-1]) for _ in range(copies.get(i, 0))])
+    assert all(len(a) > len(b) > 60 for a, b in zip(stages, stages[1:], strict=False))
+    keys = [(d[0], plain.text_hash(d[1])) for d in stages[-1]]
+    found = plain.sharded(keys, sharding.SHARDS, sharding.SEED, sharding.ROUNDS, sharding.MIN_BUCKETS)
+    want = sorted((k[0], *f) for k, f in zip(keys, found, strict=True))
+    assert sorted((r.doc_id, r.shard, r.slot) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     documents(spark).where("false").write.parquet(str(tmp_path / "documents.parquet"))

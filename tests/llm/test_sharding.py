@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.llm import sharding
+from tests.llm import plain
 from tests.llm.edges import TEXTS, documents, empty
 
 
@@ -49,3 +50,12 @@ def test_documents_keep_their_columns(spark):
     assert out.count() == docs.count()
     with pytest.raises(ValueError, match="positive"):
         sharding.shard_rows(docs, ["doc_id"], 0)
+
+
+def test_shards_and_slots_equal_plain_python(spark):
+    texts = [(i * 7 - 3 if i % 11 else None, f"text {i % 17}" * (i % 5) if i % 13 else None, "en", "s") for i in range(230)]
+    rows = sorted(str((r.doc_id, r.text_crc32, r["size"], r.shard, r.slot)) for r in sharding.shard_report(documents(spark, texts)).collect())
+    data = [(t[1] or "").encode() for t in texts]
+    keys = [(t[0], zlib.crc32(d), len(d) + 1) for t, d in zip(texts, data, strict=True)]
+    found = plain.sharded(keys, sharding.SHARDS, sharding.SEED, sharding.ROUNDS, sharding.MIN_BUCKETS)
+    assert rows == sorted(str((*k, *f)) for k, f in zip(keys, found, strict=True))

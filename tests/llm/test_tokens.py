@@ -61,3 +61,23 @@ def test_vocabulary_must_hold_every_byte(tmp_path):
     (tmp_path / "v").write_bytes(b"YQ== 0\n")
     with pytest.raises(ValueError, match="every byte"):
         token_trie.load_scores(str(tmp_path / "v"))
+
+
+def test_slices_are_bounded_in_rows_and_bytes(spark, scores, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_trie, "WALKED_BYTES", 100)
+    monkeypatch.setattr(token_trie, "WALKED_DOCS", 4)
+    texts = ["a" * n for n in (10, 50, 60, 500, 1, 1, 1, 1, 1, 100, 0, 99, 99)]
+    parts = [p.column("text").to_pylist() for p in token_trie._slices(pa.record_batch({"text": texts}))]
+    assert [t for p in parts for t in p] == texts and all(len(p) <= 4 and (len(p) == 1 or sum(map(len, p)) <= 100) for p in parts)
+    rows = [(i, f"some words {i} and more " * (i % 4), "en", "s") for i in range(40)]
+    got = {r.doc_id: r.n_tokens for r in token_trie.count_tokens(documents(spark, rows), scores).collect()}
+    assert got == {i: sum(brute(m.encode(), scores) for m in regex.findall(token_trie.PRE_TOKEN, t)) for i, t, *_ in rows}
+
+
+def test_very_long_texts(spark, scores):
+    long = " ".join(f"wort{i % 5000} und" for i in range(1_000_000))  # some 13 MB each
+    rows = [(i, long, "en", "s") for i in range(4)] + [(9, "x" * 200_000, "en", "s")]
+    got = {r.doc_id: r.n_bytes for r in token_trie.count_tokens(documents(spark, rows), scores).collect()}
+    assert got == {0: len(long), 1: len(long), 2: len(long), 3: len(long), 9: 200_000}
