@@ -129,6 +129,16 @@ def rsi(x, n=14):
     return gain / (gain + loss) * 100.0
 
 
+def or_neutral(value, base):
+    """The value, or 50 where its divisor is 0: neither side has moved."""
+    return choose(over(base, 0.0), value, 50.0)
+
+
+def neutral_share(p, m):
+    """p as a percentage of p and m, 50 where both are 0."""
+    return or_neutral(p / (p + m) * 100.0, p + m)
+
+
 def stoch_k(n=14):
     return (close - lowest(low, n)) / (highest(high, n) - lowest(low, n)) * 100.0
 
@@ -315,12 +325,12 @@ def money_flow(n=14):
     flow = typical * volume
     up, down = over(typical, before(typical)), under(typical, before(typical))
     p, m = total(choose(up, flow, 0.0), n), total(choose(down, flow, 0.0), n)
-    return p / (p + m) * 100.0
+    return neutral_share(p, m)
 
 
 def volume_weighted_rsi(n=14):
     p, m = total(positive_part(change(close)) * volume, n), total(negative_part(change(close)) * volume, n)
-    return p / (p + m) * 100.0
+    return neutral_share(p, m)
 
 
 def beta(x, n=20):
@@ -369,17 +379,27 @@ def vertical_horizontal(n=28):
 
 def relative_momentum(n=14, by=5):
     p, m = total(positive_part(change(close, by)), n), total(negative_part(change(close, by)), n)
-    return p / (p + m) * 100.0
+    return neutral_share(p, m)
 
 
 def intraday_momentum(n=14):
     p, m = total(positive_part(close - open_), n), total(negative_part(close - open_), n)
-    return p / (p + m) * 100.0
+    return neutral_share(p, m)
+
+
+def count_below(x, n):
+    """How many of the last n values lie strictly below this one."""
+    parts = [choose(under(lag(x, k), x), 1.0, 0.0) for k in range(1, n)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out + part
+    return out
 
 
 def connors(n=3):
-    rank = (close - lowest(close, 100)) / (highest(close, 100) - lowest(close, 100)) * 100.0
-    return (rsi(close, n) + rsi(Ind("streak", (close,)), 2) + rank) / 3.0
+    """Mean of the strength of price and of its streak and of the share of the last n closes below; 50 until n earlier bars are there."""
+    mean = (rsi(close, n) + rsi(Ind("streak", (close,)), n) + count_below(close, n) / float(n) * 100.0) / 3.0
+    return choose(over(_bar, float(n)), mean, 50.0)
 
 
 def parabolic(step=0.02, most=0.2):
@@ -439,7 +459,7 @@ def selection_index(n=14):
 def trend_intensity(n=20):
     up = total(choose(over(close, before(close)), 1.0, 0.0), n)
     down = total(choose(under(close, before(close)), 1.0, 0.0), n)
-    return up / (up + down) * 100.0
+    return neutral_share(up, down)
 
 
 def know_sure_thing():

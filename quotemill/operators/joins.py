@@ -61,6 +61,10 @@ def with_strategy(rows: DataFrame, strategies: DataFrame, key: str = "symbol") -
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULT_STRATEGY.items()})
 
 
+#: Configs for all symbols that are broadcast; more of them are dealt into parts.
+MAX_STARRED, STARRED_PARTS = 10_000, 64
+
+
 def fan_out(rows: DataFrame, configs: DataFrame, key: str = "symbol") -> DataFrame:
     """Each row once for every enabled config of its symbol or of `*`.
 
@@ -70,8 +74,11 @@ def fan_out(rows: DataFrame, configs: DataFrame, key: str = "symbol") -> DataFra
     keep = [c for c in live.columns if c not in (key, "enabled")]
     named = rows.join(small(live.where(F.col(key) != "*").select(key, *keep)), key)
     every = live.where(F.col(key) == "*").select(*keep)
-    stars = every.agg(F.collect_list(F.struct(*keep)).alias("__all"))  # configs for every symbol: one short row
-    starred = rows.join(F.broadcast(stars)).select(*rows.columns, F.explode("__all").alias("__c")).select(*rows.columns, *[F.col(f"__c.{c}").alias(c) for c in keep])
+    spread = 1 if every.limit(MAX_STARRED + 1).count() <= MAX_STARRED else STARRED_PARTS
+    part = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__part")  # many configs are dealt to several tasks and met by a copy of the row in each
+    configs_of = F.pmod(F.xxhash64(*keep), F.lit(spread)).cast("int").alias("__part")
+    left, right = rows.select(F.struct(*rows.columns).alias("__row"), part), every.select(F.struct(*keep).alias("__c"), configs_of)
+    starred = left.join(F.broadcast(right) if spread == 1 else right, "__part").select("__row.*", "__c.*")
     return named.select(*rows.columns, *keep).unionByName(starred)
 
 

@@ -12,16 +12,27 @@ JUMP, TREND = 0.05, 1.0
 RISING, FALLING, SIDEWAYS = "上涨", "下跌", "震荡"
 
 
-def flag_jumps(ticks: DataFrame, jump: float = JUMP, null_resets: bool = False) -> DataFrame:
+def flag_jumps(ticks: DataFrame, jump: float = JUMP, null_resets: bool = False, slot_seconds: int = 86_400) -> DataFrame:
     """Adds is_anomaly: the price moved by more than `jump` since the instrument's last price.
 
-    The first row isn't one. A null price is none and, unless null_resets, is passed over.
+    The first row isn't one. A null price is none and, unless null_resets, is passed over. Rows are
+    dealt by instrument and time slot; a slot begins with what the slots before it left, which is found
+    from one row per slot. So a busy instrument is spread over tasks. Rows without a time come first.
     """
-    run = W.partitionBy("inst_id").orderBy("ts", "seq")
-    before = F.lag("last").over(run) if null_resets else F.last("last", ignorenulls=True).over(run.rowsBetween(W.unboundedPreceding, -1))
+    slot = F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slot_seconds * 1_000_000)).cast("long"), F.lit(-(1 << 62)))
+    price = F.struct("last")
+    price = price if null_resets else F.when(F.col("last").isNotNull(), price)
+    dealt = ticks.withColumns({"__slot": slot, "__price": price})
+    place = F.struct(F.col("ts").isNotNull(), "ts", "seq")
+    ends = dealt.groupBy(F.col("inst_id").alias("__inst"), F.col("__slot").alias("__at")).agg(F.max_by("__price", F.when(F.col("__price").isNotNull(), place)).alias("__end"))
+    before_slot = W.partitionBy("__inst").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(before_slot)).drop("__end")
+    joined = dealt.join(ends, F.col("inst_id").eqNullSafe(F.col("__inst")) & (F.col("__slot") == F.col("__at")))
+    run = W.partitionBy("inst_id", "__slot").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.last("__price", ignorenulls=True).over(run), F.col("__carried"))["last"]
     moved = F.round(F.abs(F.col("last") - F.col("__before")).cast("double") / F.col("__before").cast("double"), 4)
-    flagged = ticks.withColumn("__before", before).withColumn("is_anomaly", F.coalesce(F.when(F.col("__before") != 0, moved > jump), F.lit(False)))
-    return flagged.drop("__before")
+    flagged = joined.withColumn("__before", before).withColumn("is_anomaly", F.coalesce(F.when(F.col("__before") != 0, moved > jump), F.lit(False)))
+    return flagged.select(*ticks.columns, "is_anomaly")
 
 
 def market_monitor(flagged: DataFrame, every: str = "5 minutes", count_null_prices: bool = True) -> DataFrame:

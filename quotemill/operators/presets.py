@@ -370,7 +370,7 @@ BREAKOUTS: dict[str, Rules] = {
 BREAKOUTS |= _reversals(
     {
         "ROCKET_RSI": (f.rocket_rsi(), 25.0, 75.0),
-        "STOCHASTIC_MOMENTUM": (f.stoch_k(14), 20.0, 80.0),
+        "STOCHASTIC_MOMENTUM": (f.or_neutral(f.stoch_k(14), f.highest(high, 14) - f.lowest(low, 14)), 20.0, 80.0),
         "RAINBOW_OSCILLATOR": (f.rainbow(), 20.0, 80.0),
     }
 ) | _limits(
@@ -497,11 +497,10 @@ def preset_signals(bars: DataFrame, names: Iterable[str], strength: float = 80.0
 
 def configured_signals(bars: DataFrame, configs: DataFrame, names: Iterable[str]) -> DataFrame:
     """Signals of the presets that enabled configurations name, for their symbols (`*`: all)."""
-    from quotemill.operators.joins import fan_out
-
     alias = F.col("indicator_name")
     for short, full in ALIASES.items():
         alias = F.when(F.col("indicator_name") == short, full).otherwise(alias)
-    wanted = configs.select("config_id", F.col("symbol").alias("inst_id"), alias.alias("wanted"), "enabled")
+    live = configs.where("enabled").select("config_id", F.col("symbol").alias("__symbol"), alias.alias("preset"))
     rows = preset_signals(bars, names)
-    return fan_out(rows, wanted, "inst_id").where("wanted = preset").drop("wanted")
+    named = rows.join(live.withColumnRenamed("__symbol", "inst_id"), ["inst_id", "preset"])
+    return named.unionByName(rows.join(live.where("__symbol = '*'").drop("__symbol"), "preset"))

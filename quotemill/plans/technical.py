@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quotemill.operators import formulas as f
 from quotemill.operators import presets, trades
 from quotemill.operators.indicators import Ind, close, compute, high, low, volume
+from quotemill.plans.indicator_sql import indicator_tables, preset_rows
 from quotemill.plans.tables import BARS, daily_bars, read
 
 def _bar_ms() -> Column:
@@ -76,6 +77,61 @@ def _signals(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     return out.where("signal_type <> 'HOLD'").select("inst_id", _bar_ms(), "preset", "signal_type", "strength")
 
 
+def _signals_sql(family: str) -> str:
+    rows = preset_rows(presets.FAMILIES.get(family, presets.OPTIONAL), BARS)
+    return f"{rows} SELECT inst_id, epoch_ms(bar_time) AS bar_ms, preset, signal_type, 80.0::DOUBLE AS strength FROM signals WHERE signal_type <> 'HOLD'"
+
+
+def _recursive_sql() -> str:
+    tables, last = indicator_tables(RECURSIVE.values(), "bars")
+    return f"WITH RECURSIVE {BARS}, {tables} SELECT inst_id, epoch_ms(bar_time) AS bar_ms, {', '.join(f'round({i.column}, 4) AS {n}' for n, i in RECURSIVE.items())} FROM {last}"
+
+
+def _coverage_sql() -> str:
+    rows = preset_rows({n: presets.preset(n) for n in [*presets.BANDS, *_CROSSES]}, BARS)
+    return f"""{rows} SELECT preset, count(*) AS n, count(DISTINCT inst_id) AS instruments, epoch_ms(min(bar_time)) AS first_ms, epoch_ms(max(bar_time)) AS last_ms
+FROM signals WHERE signal_type <> 'HOLD' GROUP BY preset"""
+
+
+def _configured_sql() -> str:
+    rows = preset_rows({n: presets.preset(n) for n in ("SMA", "BOLLINGER_BANDS", "SIZE_FACTOR", "GOLDEN_CROSS", "SEASONALITY")}, BARS)
+    return f"""{rows}, configs AS (SELECT n_name AS config_id, (['*', '1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW', '*'])[n_nationkey + 1] AS symbol,
+  (['SMA', 'BOLLINGER_BANDS', 'SIZE_FACTOR', 'SMA', 'GOLDEN_CROSS', 'SEASONALITY'])[n_nationkey + 1] AS wanted FROM nation WHERE n_nationkey < 6 AND n_nationkey <> 4)
+SELECT config_id, preset, inst_id, signal_type, count(*) AS n FROM signals JOIN configs ON wanted = preset AND (symbol = '*' OR symbol = inst_id) GROUP BY ALL"""
+
+
+def _trades_sql(exits: trades.Exits, name: str = "GOLDEN_CROSS") -> str:
+    """The open position is a row of a recursive query: entry, best price and levels reached, by the bar before."""
+    enter, leave = presets.preset(name)
+    strength = f.rsi(close)
+    tables, last = indicator_tables([enter, leave, strength], "bars")
+    gain, top = "((b.close - p.entry) / p.entry * 100)", "greatest(p.best, b.close)"
+    rules = [f"WHEN p.level <= {i} AND {gain} >= {x} THEN 'level_{i + 1}'" for i, x in enumerate(exits.levels)]
+    if exits.stops:
+        rules.append(f"WHEN {gain} <= ({list(exits.stops)})[CAST(least(greatest(p.level - 1, 0), {len(exits.stops) - 1}) AS INTEGER) + 1] THEN 'stop'")
+    elif exits.stop_loss is not None:
+        rules.append(f"WHEN {gain} <= -{exits.stop_loss} THEN 'stop'")
+    if exits.take_profit is not None:
+        rules.append(f"WHEN {gain} >= {exits.take_profit} THEN 'take_profit'")
+    if exits.trailing is not None:
+        rules.append(f"WHEN b.close <= {top} * {1 - exits.trailing / 100!r}::DOUBLE THEN 'trailing_stop'")
+    if exits.overbought is not None:
+        rules.append(f"WHEN b.rsi > {exits.overbought} THEN 'overbought'")
+    why = f"CASE WHEN p.opened IS NULL THEN NULL {' '.join(rules)} WHEN b.leave THEN 'signal' END"
+    over = f"(why IS NOT NULL AND (why NOT LIKE 'level%' OR why = 'level_{len(exits.levels)}'))"
+    return f"""WITH RECURSIVE {BARS}, {tables}, b AS MATERIALIZED (SELECT inst_id, r, bar_time, close, {enter.column} AS enter, {leave.column} AS leave, {strength.column} AS rsi FROM {last}),
+p AS (
+  SELECT inst_id, r, CASE WHEN enter THEN bar_time END AS opened, close AS entry, close AS best, 0 AS level, NULL::VARCHAR AS why, NULL::TIMESTAMP AS was, close AS paid, bar_time, close FROM b WHERE r = 1
+  UNION ALL
+  SELECT inst_id, r, CASE WHEN opened IS NULL THEN CASE WHEN enter THEN bar_time END WHEN {over} THEN NULL ELSE opened END, CASE WHEN opened IS NULL THEN close ELSE entry END,
+         CASE WHEN opened IS NULL THEN close ELSE greatest(best, close) END, CASE WHEN opened IS NULL THEN 0 WHEN why LIKE 'level%' THEN CAST(substr(why, 7) AS INTEGER) ELSE level END, why, opened, entry, bar_time, close
+  FROM (SELECT b.inst_id, b.r, b.bar_time, b.close, b.enter, p.opened, p.entry, p.best, p.level, {why} AS why FROM p JOIN b ON b.inst_id = p.inst_id AND b.r = p.r + 1)
+),
+ends AS (SELECT inst_id, max(r) AS r FROM b GROUP BY 1)
+SELECT inst_id, epoch_ms(was) AS entry_time, paid AS entry_price, epoch_ms(bar_time) AS exit_time, close AS exit_price, why AS reason, round((close - paid) / paid * 100, 6) AS profit_percent FROM p WHERE why IS NOT NULL
+UNION ALL SELECT inst_id, epoch_ms(opened), entry, NULL, NULL, NULL, NULL FROM p JOIN ends USING (inst_id, r) WHERE opened IS NOT NULL"""
+
+
 _CROSSES = {"SMA": (9, 21), "GOLDEN_CROSS": (9, 26), "DEATH_CROSS": (26, 9), "TRIMA": (9, 21), "PRICE_PATTERN_RECOGNITION": (10, 20)}
 
 
@@ -143,16 +199,16 @@ SELECT inst_id, epoch_ms(bar_time) AS bar_ms, {', '.join(f'CASE WHEN ok THEN rou
 
 _ALL = {
     "indicators_windowed": (windowed_indicators, WINDOWED_SQL),
-    "indicators_recursive": (recursive_indicators, None),
+    "indicators_recursive": (recursive_indicators, _recursive_sql()),
     "indicator_ema": (exponential_average, EXPONENTIAL_SQL),
     "indicator_channel": (channel, CHANNEL),
     "preset_average_crossings": (average_crossings, AVERAGE_CROSSINGS),
     "preset_counts": (band_reversals, BAND_REVERSALS),
-    "preset_configured": (configured, None),
-    "preset_coverage": (coverage, None),
-    "trades_stops": (partial(_trades, exits=trades.Exits()), None),
-    "trades_multi_level": (partial(_trades, exits=trades.MULTI_LEVEL), None),
-    "trades_advanced": (partial(_trades, exits=trades.ADVANCED), None),
-} | {f"presets_{k}": (partial(_signals, family=k), None) for k in (*presets.FAMILIES, "optional")}
+    "preset_configured": (configured, _configured_sql()),
+    "preset_coverage": (coverage, _coverage_sql()),
+    "trades_stops": (partial(_trades, exits=trades.Exits()), _trades_sql(trades.Exits())),
+    "trades_multi_level": (partial(_trades, exits=trades.MULTI_LEVEL), _trades_sql(trades.MULTI_LEVEL)),
+    "trades_advanced": (partial(_trades, exits=trades.ADVANCED), _trades_sql(trades.ADVANCED)),
+} | {f"presets_{k}": (partial(_signals, family=k), _signals_sql(k)) for k in (*presets.FAMILIES, "optional")}
 QUERIES = {k: q for k, (q, _) in _ALL.items()}
 ORACLE_SQL = {k: sql for k, (_, sql) in _ALL.items() if sql}

@@ -66,12 +66,53 @@ def test_folds_equal_loops(bars):
     assert np.allclose(series(out, "rsi"), rsi)
 
 
-def test_chunks_do_not_change_the_folds(bars):
-    wanted = {"ema": f.ema(close, 5), "macd": f.macd(close, 3, 6), "sar": f.parabolic()}
-    whole, cut = compute(bars, wanted), compute(bars, wanted, chunk=40, warm_up=39)
-    for name in ("ema", "macd"):
-        assert np.allclose(series(whole, name), series(cut, name), atol=1e-4)
-    assert cut.count() == bars.count()
+def test_chunks_do_not_change_the_folds(spark):
+    """Every registered fold that the presets use, on more bars than three chunks hold."""
+    long = spark.createDataFrame(walk(5, 3000), SCHEMA).cache()
+    wanted = {
+        "ema": f.ema(close, 5), "macd": f.macd(close, 3, 6), "wilder": f.wilder(close, 14), "zlema": f.zlema(close, 9), "kama": f.kama(close, 10, 2, 8), "sar": f.parabolic(),
+        "streak": Ind("streak", (close,)), "cycle": Ind("cyber_cycle", (close,), (0.1,)), "laguerre": Ind("laguerre_rsi", (close,), (0.2,)), "two_pole": Ind("two_pole", (close,), (20,)),
+        "gaussian": Ind("gaussian", (close,), (20, 4)), "slope": Ind("one_pole_slope", (close,), (20, 50)), "smooth": Ind("super_smoother", (close,), (20,)),
+        "fractal": Ind("fractal_mean", (close, high, low), (20,)), "alpha": Ind("ema_alpha", (close,), (0.1,)),
+    }
+    whole, cut = compute(long, wanted).cache(), compute(long, wanted, chunk=1100, warm_up=1000).cache()
+    for name in wanted:
+        assert np.allclose(series(whole, name, "s5"), series(cut, name, "s5"), rtol=1e-9, atol=1e-9), name
+    assert cut.count() == 3000
+
+
+def test_a_null_leaves_a_fold_alone(spark):
+    rows = [("x", T0 + timedelta(minutes=i), p, p, p, p, 1.0) for i, p in enumerate([None, 100.0, 100.0, None, 100.0, 106.0, None, 100.0])]
+    got = [r.e for r in compute(spark.createDataFrame(rows, SCHEMA), {"e": f.ema(close, 2)}).orderBy("bar_time").collect()]
+    assert got[0] is None or np.isnan(got[0])
+    assert np.allclose(got[1:], [100, 100, 100, 100, 104, 104, 100 + 4 / 3])
+
+
+def test_flat_and_short_input_is_neutral(spark):
+    rows = [("x", T0 + timedelta(minutes=i), 5.0, 5.0, 5.0, 5.0, 1.0) for i in range(30)]
+    flat = spark.createDataFrame(rows, SCHEMA)
+    names = ["STOCHASTIC_MOMENTUM", "RELATIVE_MOMENTUM_INDEX", "INTRADAY_MOMENTUM_INDEX", "TREND_INTENSITY_INDEX", "VOLUME_WEIGHTED_RSI", "MONEY_FLOW_INDEX"]
+    assert {r.signal_type for r in presets.preset_signals(flat, names).collect()} == {"HOLD"}
+
+
+def test_connors_equals_a_loop(bars):
+    c = series(bars, "close")
+
+    def strength(x: list, n: int) -> list:
+        gain = loss = 0.0
+        out = [0.0]
+        for a, b in zip(x, x[1:], strict=False):
+            gain += (max(b - a, 0) - gain) / n
+            loss += (max(a - b, 0) - loss) / n
+            out.append(100 * gain / (gain + loss) if gain + loss else 0.0)
+        return out
+
+    run = [0.0]
+    for a, b in zip(c, c[1:], strict=False):
+        run.append(max(run[-1], 0) + 1 if b > a else min(run[-1], 0) - 1)
+    price, streaks = strength(list(c), 3), strength(run, 3)
+    want = [50.0 if i < 3 else (price[i] + streaks[i] + sum(x < c[i] for x in c[i - 2 : i + 1]) / 3 * 100) / 3 for i in range(len(c))]
+    assert np.allclose(series(compute(bars, {"c": f.connors(3)}), "c"), want)
 
 
 def test_crossing_with_ties(spark):

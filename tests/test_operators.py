@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import json
 from datetime import datetime, timedelta
 
@@ -127,7 +129,45 @@ def test_trades(spark):
     got = [(r.entry_price, r.exit_price, r.reason) for r in trades.trades(frame, trades.Exits(stop_loss=3.0, trailing=5.0)).orderBy("entry_time").collect()]
     assert got == [(100.0, 97.8, "trailing_stop"), (100.0, 113.9, "trailing_stop"), (50.0, 51.0, "signal"), (52.0, None, None)]
     multi = [(r.exit_price, r.reason) for r in trades.trades(frame.limit(3), trades.MULTI_LEVEL).collect()]
-    assert multi == [(97.8, "stop")]  # the first level moved the stop to the entry price
+    assert multi == [(103.0, "level_1"), (97.8, "stop")]
+    climb = [("a", T0 + timedelta(days=i), float(p), i == 0, False) for i, p in enumerate((100, 102, 103, 104.5, 99.2, 98.1, 97.9))]
+    climbed = spark.createDataFrame(climb, frame.schema)
+    multi = [(r.exit_price, r.reason) for r in trades.trades(climbed, trades.MULTI_LEVEL).collect()]
+    assert multi == [(102.0, "level_1"), (104.5, "level_2"), (97.9, "stop")]  # the second level moved the stop from -1 to -2 percent
+
+
+def test_slots_change_neither_breakouts_nor_jumps(spark):
+    rng = random.Random(6)
+    rows, at = [], 0
+    for k in range(900):
+        at += rng.choice((0, 1, 5, 40, 400))
+        rows.append((rng.choice("ab"), T0 + timedelta(seconds=at), k, rng.choice((None, 0.0, 100.0, 104.0, 106.0, 100.0)), rng.choice((0.1, 0.2, -0.3, 0.4, 1.0, 2.0, None))))
+    frame = spark.createDataFrame(rows + [("a", None, 999, 5.0, 0.1)], "inst_id string, ts timestamp, seq long, last double, change_percent double")
+    want = None
+    for slot in (300, 301, 1000, 10**9):
+        got = sorted(map(tuple, patterns.breakouts(frame, slot_seconds=slot).collect()))
+        assert want in (None, got) and len(got) > 10
+        want = got
+    by_inst = {i: [r for r in rows if r[0] == i] for i in "ab"}
+    plain = []
+    for own in by_inst.values():
+        for j in range(2, len(own)):
+            if all(r[4] is not None and abs(r[4]) < 0.5 for r in own[j - 2 : j + 1]):
+                jump = next((r for r in own[j + 1 :] if r[4] is not None and abs(r[4]) > 1.5), None)
+                if jump and (jump[1] - own[j - 2][1]).total_seconds() < 300:
+                    plain.append((own[j - 2][1], own[j][1], jump[2]))
+    assert sorted((r[1], r[2], r[5]) for r in want) == sorted(plain)
+    for resets in (False, True):
+        flags = [sorted((r.seq, r.is_anomaly) for r in monitor.flag_jumps(frame, null_resets=resets, slot_seconds=slot).collect()) for slot in (60, 1000, 10**9)]
+        assert flags[0] == flags[1] == flags[2] and 50 < sum(f for _, f in flags[0]) < 800
+
+
+def test_many_configs_for_all(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "symbol string, x int")
+    configs = spark.createDataFrame([("*", f"c{i}", True) for i in range(20)] + [("a", "named", True), ("*", "off", False)], "symbol string, config string, enabled boolean")
+    want = sorted(map(tuple, joins.fan_out(rows, configs).collect()))
+    monkeypatch.setattr(joins, "MAX_STARRED", 3)
+    assert sorted(map(tuple, joins.fan_out(rows, configs).collect())) == want and len(want) == 41
 
 
 def test_rankings_and_overview(spark):
