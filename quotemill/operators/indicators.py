@@ -25,7 +25,7 @@ from pyspark.sql.window import WindowSpec
 
 #: Bars in a chunk of the grouped fold, and bars of warm-up before it.
 CHUNK, WARM_UP = 50_000, 10_000
-#: Values whose difference is within this share of them are equal: sums of the same numbers in another order differ by less.
+#: Values whose difference is within this share of them, or of 1, are equal: sums of the same numbers in another order differ by less.
 EQUAL = 1e-9
 
 
@@ -149,7 +149,7 @@ def smaller(run, rows, *a):
 
 
 def _exceeds(a, b):
-    return a - b > F.greatest(F.abs(a), F.abs(b)) * EQUAL
+    return a - b > F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) * EQUAL
 
 
 @_expression

@@ -42,7 +42,7 @@ def _fitted(value: str, otherwise: str) -> str:
 
 
 def _exceeds(a: str, b: str) -> str:
-    return f"{a} - {b} > greatest(abs({a}), abs({b})) * 1e-9::DOUBLE"
+    return f"{a} - {b} > greatest(abs({a}), abs({b}), 1.0::DOUBLE) * 1e-9::DOUBLE"
 
 
 def _moment(a: str, n: float, k: int) -> str:
