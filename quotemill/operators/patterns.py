@@ -11,12 +11,14 @@ CALM, BREAK, WITHIN_SECONDS = 0.5, 1.5, 300
 
 
 def breakouts(
-    ticks: DataFrame, change: str = "change_percent", calm: float = CALM, jump: float = BREAK, within_seconds: int = WITHIN_SECONDS, slot_seconds: int | None = None
-) -> DataFrame:
+    ticks: DataFrame, change: str = "change_percent", calm: float = CALM, jump: float = BREAK, within_seconds: int = WITHIN_SECONDS, slot_seconds: int | None = None,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per match (overlapping ones kept): the calm rows' mean price and the breakout row.
 
     ticks: inst_id, ts, seq, last and the change in percent. The breakout is the first one after the
-    third calm row; it must come less than `within_seconds` after the first.
+    third calm row; it must come less than `within_seconds` after the first. `carry` names columns of
+    the breakout row that come along.
 
     Rows are dealt by instrument and time slot (`slot_seconds`, twelve times the limit unless given), so
     a busy instrument is spread over tasks. A match is no longer than the limit, so each slot also reads
@@ -32,7 +34,7 @@ def breakouts(
     back = W.partitionBy("inst_id", "__slot").orderBy(F.desc("ts"), F.desc("seq"))
     size = F.abs(F.col(change))
     quiet = F.coalesce(size < calm, F.lit(False))
-    row = F.struct("ts", "seq", "last", F.col(change).alias("change"), F.col("__own").alias("own"))
+    row = F.struct("ts", "seq", "last", F.col(change).alias("change"), F.col("__own").alias("own"), *carry)
     later = back.rowsBetween(W.unboundedPreceding, -1)
     seen = dealt.withColumns(
         {
@@ -52,4 +54,5 @@ def breakouts(
         F.col("__next.seq").alias("break_seq"),
         F.col("__next.last").alias("break_price"),
         F.col("__next.change").alias("break_change"),
+        *[F.col(f"__next.{c}").alias(c) for c in carry],
     )

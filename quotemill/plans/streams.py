@@ -56,13 +56,13 @@ PAIRS = market.ARBITRAGE.replace("b.ms BETWEEN a.ms - 3600000 AND a.ms + 3600000
 
 
 def jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.run_to_end(jobs.stream_jumps(tick_stream(spark, sf_dir)), _folder(spark))
+    out = jobs.stream_jumps(tick_stream(spark, sf_dir), _folder(spark))
     return out.where("is_anomaly").select("inst_id", "seq", "last")
 
 
 def breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tick_stream(spark, sf_dir).withColumn("change_percent", F.round((F.col("last") % 4) - 0.4, 6))
-    out = jobs.run_to_end(jobs.stream_breakouts(t, 0.6, 1.5, 6 * 3600), _folder(spark))
+    out = jobs.stream_breakouts(t, _folder(spark), 0.6, 1.5, 6 * 3600)
     return out.withColumns({c: F.unix_millis(c) for c in ("calm_start", "calm_end", "break_ts")}).withColumn("calm_price", F.round("calm_price", 6))
 
 

@@ -1,23 +1,28 @@
 """Stream forms of the operators: watermarks, windowed aggregates, an interval join and keyed state.
 
-Windows and the join are the batch operators over a stream with a watermark. What Spark has no
-operator for (the last price of a key, the breakout pattern) keeps a small state per key.
+Windows and the join are the batch operators over a stream with a watermark. What compares rows across
+batches (jumps, breakouts, presets) runs the batch operator over each batch and the few rows that the
+batch before carried for each key.
+
+Spark's watermark follows the latest time seen in any partition, so an idle partition doesn't hold it
+back; of several streams, `spark.sql.streaming.multipleWatermarkPolicy` = max lets the faster one lead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from quotemill.functions import columns as C
-from quotemill.operators import bars, monitor, signals
+from quotemill.operators import bars, monitor, patterns, presets, signals
 
-#: Fixed value: how late a row may come.
-LATENESS = "5 seconds"
+#: How late a row may come, and the bars of a key that a stream of indicators remembers.
+LATENESS, HISTORY_BARS = "5 seconds", 500
 
 
 def with_event_time(messages: DataFrame, column: str = "value", lateness: str = LATENESS) -> DataFrame:
@@ -59,60 +64,102 @@ def stream_pairs(spot: DataFrame, swap: DataFrame, within_seconds: int = 10, lat
     return a.join(b, (F.col("a.symbol") == F.col("b.__symbol")) & near).drop("__symbol")
 
 
-def _ordered(key: tuple, parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values(["ts", "seq"], kind="stable")
+def stream_once(ticks: DataFrame, keys: list[str], lateness: str = LATENESS) -> DataFrame:
+    """Of rows with equal keys that come within the lateness of each other, only the first stays; state leaves with the watermark."""
+    return watermarked(ticks, lateness).dropDuplicatesWithinWatermark(keys)
+
+
+def carried_through(rows: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], every: str | None = None) -> StreamingQuery:
+    """Start a stream whose batches hand rows on: step(batch, carried) gives the result's rows and those to carry.
+
+    Both are tables in `folder`, one part per batch. A batch reads what the one before it carried and
+    replaces its own parts, so that a repeated batch gives the same rows once. `carried` is None in the
+    first batch. The step is a plan over DataFrames: sorts and windows in it may spill, and nothing is
+    gathered in Python. Without `every`, the stream runs to its present end.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        carried = batch.sparkSession.read.parquet(f"{folder}/carried/batch_id={number - 1}") if number else None
+        out, kept = step(batch, carried)
+        kept.write.mode("overwrite").parquet(f"{folder}/carried/batch_id={number}")
+        out.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={number}")
+        batch.unpersist()
+
+    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def carried_rows(rows: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], schema: str) -> DataFrame:
+    """Run `carried_through` to the stream's present end and read its table."""
+    query = carried_through(rows, folder, step)
+    query.awaitTermination()
+    fields = StructType.fromDDL(schema)
+    if query.lastProgress is None:  # no batch, no table
+        return rows.sparkSession.createDataFrame([], fields)
+    return rows.sparkSession.read.schema(schema).parquet(f"{folder}/rows").select(*fields.names)
+
 
+def stream_jumps(ticks: DataFrame, folder: str, jump: float = monitor.JUMP) -> DataFrame:
+    """(inst_id, ts, seq, last, is_anomaly): each price against the key's last one, across batches.
 
-def stream_jumps(ticks: DataFrame, jump: float = monitor.JUMP) -> DataFrame:
-    """(inst_id, ts, seq, last, is_anomaly): each price against the key's last one, across batches."""
+    Carried: the last price of each key. It comes before all rows of the next batch, late ones too.
+    """
 
-    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(key, parts)
-        before = state.get[0] if state.exists else None
-        flags = []
-        for price in rows["last"]:
-            known = price is not None and price == price
-            flags.append(bool(known and before and round(abs(price - before) / before, 4) > jump))
-            before = price if known else before
-        if before is not None:
-            state.update((float(before),))
-        yield rows.assign(is_anomaly=flags)[["inst_id", "ts", "seq", "last", "is_anomaly"]]
+    def step(batch: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = batch.withColumn("__new", F.lit(True))
+        rows = rows if carried is None else rows.unionByName(carried)
+        place = F.struct(F.col("ts").isNotNull(), "ts", "seq")
+        ends = rows.where("last is not null").groupBy("inst_id").agg(F.max_by("last", place).alias("last"))
+        first = ends.select("inst_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(-(1 << 63)).alias("seq"), "last", F.lit(False).alias("__new"))
+        return monitor.flag_jumps(rows, jump).where("__new").drop("__new"), first
 
-    rows = ticks.select("inst_id", "ts", "seq", F.col("last").cast("double").alias("last"))
-    out = "inst_id string, ts timestamp, seq long, last double, is_anomaly boolean"
-    return rows.groupBy("inst_id").applyInPandasWithState(judge, out, "price double", "append", GroupStateTimeout.NoTimeout)
+    rows = ticks.select("inst_id", "ts", "seq", F.nanvl(F.col("last").cast("double"), F.lit(None)).alias("last"))
+    return carried_rows(rows, folder, step, "inst_id string, ts timestamp, seq long, last double, is_anomaly boolean")
 
 
-def stream_breakouts(ticks: DataFrame, calm: float = 0.5, jump: float = 1.5, within_seconds: int = 300) -> DataFrame:
+def stream_breakouts(ticks: DataFrame, folder: str, calm: float = patterns.CALM, jump: float = patterns.BREAK, within_seconds: int = patterns.WITHIN_SECONDS) -> DataFrame:
     """The breakout pattern of a stream: ticks have inst_id, ts, seq, last, change_percent.
 
-    State: the last two rows and the calm triples that still wait; a triple leaves when a breakout
-    comes or its time is over, so the state is bounded by the ticks of `within_seconds`.
+    Carried: each key's rows of the last `within_seconds`, since a match is shorter. A late row takes
+    its place in time among them; a match comes out with the batch that brings its breakout.
+    """
+
+    def step(batch: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = batch.withColumn("__new", F.lit(True))
+        rows = rows if carried is None else rows.unionByName(carried.withColumn("__new", F.lit(False)))
+        found = patterns.breakouts(rows, "change_percent", calm, jump, within_seconds, carry=("__new",))
+        ends = rows.groupBy(F.col("inst_id").alias("__inst")).agg(F.max("ts").alias("__end"))
+        recent = F.col("ts") > F.col("__end") - F.expr(f"INTERVAL {int(within_seconds)} SECONDS")
+        kept = rows.join(ends, F.col("inst_id").eqNullSafe(F.col("__inst"))).where(recent).select(*batch.columns)
+        return found.where("__new").drop("__new", "break_change"), kept
+
+    rows = ticks.select("inst_id", "ts", "seq", F.col("last").cast("double").alias("last"), F.nanvl(F.col("change_percent").cast("double"), F.lit(None)).alias("change_percent"))
+    schema = "inst_id string, calm_start timestamp, calm_end timestamp, calm_price double, break_ts timestamp, break_seq long, break_price double"
+    return carried_rows(rows, folder, step, schema)
+
+
+def stream_presets(bars_in: DataFrame, folder: str, names: list[str], history: int = HISTORY_BARS) -> DataFrame:
+    """Preset signals of a stream of bars (inst_id, bar_time, open, high, low, close, volume), each bar once.
+
+    Carried: the last `history` bars of each key, the most that an indicator sees before a new bar.
+    Bars come in order of time; one that isn't later than the carried ones of its key is dropped.
     """
-    limit = within_seconds * 1_000_000_000
-
-    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, waiting = state.get if state.exists else ([], [])
-        recent, waiting = [tuple(x) for x in recent], [tuple(x) for x in waiting]
-        found = []
-        rows = _ordered(key, parts)
-        for ts, seq, price, change in rows[["ts", "seq", "last", "change_percent"]].itertuples(index=False, name=None):
-            at, size = ts.value, abs(change) if change is not None and change == change else None
-            waiting = [w for w in waiting if at - w[0] < limit]
-            if size is not None and size > jump:
-                found += [(key[0], pd.Timestamp(s), pd.Timestamp(e), round(m, 8), ts, seq, price) for s, e, m in waiting]
-                waiting = []
-            recent = [*recent, (at, float(price))] if size is not None and size < calm else []
-            if len(recent) == 3:
-                waiting.append((recent[0][0], at, sum(p for _, p in recent) / 3))
-                recent = recent[1:]
-        state.update((recent, waiting))
-        yield pd.DataFrame(found, columns=["inst_id", "calm_start", "calm_end", "calm_price", "break_ts", "break_seq", "break_price"])
-
-    out = "inst_id string, calm_start timestamp, calm_end timestamp, calm_price double, break_ts timestamp, break_seq long, break_price double"
-    kept = "recent array<struct<at: long, price: double>>, waiting array<struct<start: long, end: long, price: double>>"
-    rows = ticks.select("inst_id", "ts", "seq", F.col("last").cast("double").alias("last"), F.col("change_percent").cast("double").alias("change_percent"))
-    return rows.groupBy("inst_id").applyInPandasWithState(judge, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+    def step(batch: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows, since = batch, None
+        if carried is not None:
+            since = carried.groupBy(F.col("inst_id").alias("__inst")).agg(F.max("bar_time").alias("__since"))
+            fresh = F.col("inst_id").eqNullSafe(F.col("__inst")) & (F.col("bar_time") <= F.col("__since"))
+            rows = batch.join(since, fresh, "left_anti").unionByName(carried)
+        out = presets.preset_signals(rows, names)
+        if since is not None:
+            out = out.join(since, F.col("inst_id").eqNullSafe(F.col("__inst")) & (F.col("bar_time") <= F.col("__since")), "left_anti")
+        newest = W.partitionBy("inst_id").orderBy(F.desc("bar_time"))
+        return out, rows.withColumn("__age", F.row_number().over(newest)).where(F.col("__age") <= history).drop("__age")
+
+    rows = bars_in.select("inst_id", "bar_time", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    return carried_rows(rows, folder, step, "inst_id string, bar_time timestamp, close double, preset string, signal_type string, strength double")
 
 
 def run_to_end(rows: DataFrame, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.operators import bars, monitor, patterns
+from quotemill.operators import bars, monitor, patterns, presets
 from quotemill.sources import feeds, sinks
 from quotemill.streaming import jobs
 
@@ -85,15 +85,74 @@ def test_keyed_state_across_batches(spark, tmp_path):
     for k in range(3):  # three batches, in order of time
         spark.createDataFrame(rows[k * 40 : k * 40 + 40], TICKS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
     source = lambda: spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    got = jobs.run_to_end(jobs.stream_jumps(source()), str(tmp_path / "jumps"))
+    got = jobs.stream_jumps(source(), str(tmp_path / "jumps"))
     key = lambda df: sorted((r.inst_id, r.seq) for r in df.where("is_anomaly").collect())
     assert key(got) == key(monitor.flag_jumps(frame))
-    found = jobs.run_to_end(jobs.stream_breakouts(source()), str(tmp_path / "breaks"))
+    found = jobs.stream_breakouts(source(), str(tmp_path / "breaks"))
     want = patterns.breakouts(frame)
     pick = lambda df: sorted((r.inst_id, r.calm_start, r.break_seq, round(r.calm_price, 6)) for r in df.collect())
     assert pick(found) == pick(want) and found.count() > 0
 
 
+def test_a_late_price_is_held_against_the_carried_one(spark, tmp_path):
+    """Batches in order of arrival: a null price is passed over, a late row meets the last price before its batch."""
+    batches = [
+        [("a", T0 + timedelta(minutes=5), 1, 100.0, 1.0, 0.0), ("b", T0, 2, None, 1.0, 0.0)],
+        [("a", T0, 3, 50.0, 1.0, 0.0), ("a", T0 + timedelta(minutes=6), 4, None, 1.0, 0.0), ("b", T0, 5, 9.0, 1.0, 0.0)],
+        [("a", T0 + timedelta(minutes=7), 6, 51.0, 1.0, 0.0), ("b", T0, 7, 10.0, 1.0, 0.0)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, TICKS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    source = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = jobs.stream_jumps(source, str(tmp_path / "jumps"))
+    assert {r.seq: r.is_anomaly for r in got.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
+
+
+def test_presets_of_a_stream_equal_those_of_the_table(spark, tmp_path):
+    bar = "inst_id string, bar_time timestamp, open double, high double, low double, close double, volume double"
+    rows = [(k, T0 + timedelta(days=i), 10.0 + i % 7, 12.0 + i % 7, 9.0, 10.0 + (i * 5) % 11, 1.0 + i % 3) for i in range(40) for k in "ab"]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 28 : k * 28 + 28], bar).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    source = spark.readStream.schema(bar).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = jobs.stream_presets(source, str(tmp_path / "out"), ["GOLDEN_CROSS", "BOLLINGER_BANDS"], history=30)
+    want = presets.preset_signals(spark.createDataFrame(rows, bar), ["GOLDEN_CROSS", "BOLLINGER_BANDS"])
+    pick = lambda df: sorted((r.inst_id, r.bar_time, r.preset, r.signal_type) for r in df.collect())
+    assert pick(got) == pick(want)
+
+
+def test_late_and_repeated_rows_of_a_stream(spark, tmp_path):
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    batches = [
+        [("a", at(0), 1, 1.0, 1.0, 0.0), ("a", at(0), 1, 1.0, 1.0, 0.0), ("a", at(30), 2, 2.0, 1.0, 0.0)],
+        [("a", at(31), 4, 3.0, 1.0, 0.0)],
+        [("a", at(0), 3, 9.0, 1.0, 0.0), ("a", at(31), 4, 3.0, 1.0, 0.0)],  # seq 3 is late: Spark goes by the watermark of the batch before
+        [("a", at(90), 5, 4.0, 1.0, 0.0)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, TICKS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    source = lambda: spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    done = jobs.run_to_end(jobs.stream_bars(source(), "1 minute", "5 seconds"), str(tmp_path / "bars"))
+    assert sorted((r.window_start, r.tick_count, r.close) for r in done.collect()) == [(at(0), 2, 1.0), (at(30), 1, 2.0), (at(31), 2, 3.0)]
+    once = jobs.run_to_end(jobs.stream_once(source(), ["inst_id", "seq"]), str(tmp_path / "once"))
+    assert sorted(r.seq for r in once.collect()) == [1, 2, 4, 5]
+
+
+def test_event_time_and_refreshed_lookups(spark, tmp_path):
+    spark.createDataFrame([('{"ts":"1704067200000"}',), ('{"ts":"1704067260000"}',)], "value string").coalesce(1).write.text(str(tmp_path / "in"))
+    timed = jobs.with_event_time(spark.readStream.text(str(tmp_path / "in")))
+    assert sorted(r.event_time for r in jobs.run_to_end(timed, str(tmp_path / "timed")).collect()) == [T0, T0 + timedelta(minutes=1)]
+    reads = []
+
+    def lookup(session):
+        reads.append(1)
+        return session.createDataFrame([("a", len(reads))], "inst_id string, version int")
+
+    each = jobs.refreshing(lookup, lambda rows, table: rows.join(table, "inst_id"), sinks.write_batch(str(tmp_path / "joined")))
+    rows = spark.createDataFrame(rows_of(4), TICKS)
+    each(rows, 0), each(rows, 1)
+    assert {(r.batch_id, r.version) for r in spark.read.parquet(str(tmp_path / "joined")).collect()} == {(0, 1), (1, 2)}
+
+
 def test_the_rest_works_without_the_text_folders():
     import __spark_entry__ as entry
 
