@@ -96,9 +96,17 @@ def dedup_window(ticks: DataFrame, keys: list[str], time_ms: str, order: str, wi
     return ticks.withColumn("__gap", gap).where(f"__gap is null or __gap > {int(window_ms)}").drop("__gap")
 
 
+def last_time(ticks: DataFrame, time_col: str) -> Column:
+    """The table's last time as a constant, read here from that one column; null for an empty table."""
+    micros = ticks.agg(F.unix_micros(F.max(F.col(time_col).cast("timestamp")))).first()[0]
+    return F.timestamp_micros(F.lit(micros).cast("bigint"))
+
+
 def since(ticks: DataFrame, time_col: str, interval: str, as_of: Column | None = None) -> DataFrame:
-    """Rows of the last `interval` before `as_of`; the table's own last time if none is given."""
-    if as_of is not None:
-        return ticks.where(F.col(time_col) >= as_of - F.expr(f"INTERVAL {interval}"))
-    last = ticks.agg(F.max(time_col).alias("__as_of"))
-    return ticks.join(F.broadcast(last), F.col(time_col) >= F.col("__as_of") - F.expr(f"INTERVAL {interval}")).drop("__as_of")
+    """Rows of the last `interval` before `as_of`; the table's own last time if none is given.
+
+    The bound is a constant, so partitions and row groups outside it are skipped. A stream has no last
+    time: it needs `as_of`.
+    """
+    as_of = last_time(ticks, time_col) if as_of is None else as_of
+    return ticks.where(F.col(time_col) >= as_of - F.expr(f"INTERVAL {interval}"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quotemill.operators.clean import since
+from quotemill.operators.bars import ohlc
+from quotemill.operators.clean import last_time, since
 from quotemill.plans.tables import TICKS, ticks
 
 ms = lambda c: F.unix_millis(c).alias(f"{c}_ms")
@@ -112,12 +115,8 @@ FROM ticks, now WHERE ts >= t - INTERVAL 6 HOUR GROUP BY 1"""
 def change_since(spark: SparkSession, sf_dir: str, hours: int = 24) -> DataFrame:
     """The last price beside the last one at or before some hours earlier; instruments without one go."""
     rows = ticks(spark, sf_dir)
-    as_of = F.broadcast(rows.agg(F.max("ts").alias("t")))  # one row
-    order = F.struct("ts", "seq")
-    joined = rows.join(as_of).groupBy("inst_id").agg(
-        F.max_by("last", order).alias("price_now"),
-        F.max_by("last", F.when(F.col("ts") <= F.col("t") - F.expr(f"INTERVAL {hours} HOURS"), order)).alias("price_before"),
-    )
+    order, before = F.struct("ts", "seq"), last_time(rows, "ts") - F.expr(f"INTERVAL {hours} HOURS")
+    joined = rows.groupBy("inst_id").agg(F.max_by("last", order).alias("price_now"), F.max_by("last", F.when(F.col("ts") <= before, order)).alias("price_before"))
     change = F.col("price_now") - F.col("price_before")
     return joined.where("price_before is not null").select("inst_id", "price_now", "price_before", F.round(change, 6).alias("change"), F.round(F.try_divide(change, "price_before") * 100, 4).alias("change_percent")).orderBy(F.desc("change_percent"))
 
@@ -178,6 +177,45 @@ def layer_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LAYER_HEAD = f"WITH {TICKS} SELECT inst_id, ms AS ts_ms, seq, last FROM ticks ORDER BY ts DESC, seq DESC LIMIT 10"
 
+def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The raw, the detail and the bar layer, as (inst_id, ts, seq, last); a bar's time is its start, its price its close."""
+    raw = ticks(spark, sf_dir)
+    shape = lambda df, at, seq, last: df.select("inst_id", F.col(at).alias("ts"), seq.cast("bigint").alias("seq"), F.col(last).alias("last"))
+    return {
+        "ods": shape(raw, "ts", F.col("seq"), "last"),
+        "dwd": shape(raw.where("last > 0 and bid > 0 and ask > 0"), "ts", F.col("seq"), "last"),
+        "dws": shape(ohlc(raw, "1 hour"), "window_start", F.lit(0), "close"),
+    }
+
+
+def layer_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest ten rows of each layer."""
+    heads = [
+        rows.orderBy(F.desc("ts"), F.desc("seq"), "inst_id").limit(10).select(F.lit(layer).alias("layer"), "inst_id", ms("ts"), "seq", "last")
+        for layer, rows in _layers(spark, sf_dir).items()
+    ]
+    return reduce(DataFrame.unionByName, heads)
+
+
+_LAYERS = f"""{TICKS}, layers AS (
+  SELECT 'ods' AS layer, inst_id, ts, seq, last FROM ticks UNION ALL
+  SELECT 'dwd', inst_id, ts, seq, last FROM ticks WHERE last > 0 AND bid > 0 AND ask > 0 UNION ALL
+  SELECT 'dws', inst_id, date_trunc('hour', ts) AS ts, 0 AS seq, arg_max(last, (ts, seq)) AS last FROM ticks GROUP BY inst_id, date_trunc('hour', ts))"""
+LAYER_HEADS = f"""WITH {_LAYERS}
+SELECT layer, inst_id, epoch_us(ts) // 1000 AS ts_ms, CAST(seq AS BIGINT) AS seq, last FROM layers QUALIFY row_number() OVER (PARTITION BY layer ORDER BY ts DESC, seq DESC, inst_id) <= 10"""
+
+
+def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and first and last time of each instrument in each layer."""
+    counts = [
+        rows.groupBy("inst_id").agg(F.count("*").alias("n"), F.unix_millis(F.min("ts")).alias("first_ms"), F.unix_millis(F.max("ts")).alias("last_ms")).withColumn("layer", F.lit(layer))
+        for layer, rows in _layers(spark, sf_dir).items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+LAYER_COUNTS = f"WITH {_LAYERS} SELECT layer, inst_id, count(*) AS n, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms FROM layers GROUP BY 1, 2"
+
 QUERIES = {
     "bi_latest_prices": latest_prices,
     "bi_top_turnover": top_turnover,
@@ -192,6 +230,8 @@ QUERIES = {
     "bi_instrument_stats": instrument_stats,
     "bi_dashboard_rate": dashboard_rate,
     "bi_layer_head": layer_head,
+    "bi_layer_heads": layer_heads,
+    "bi_layer_counts": layer_counts,
 }
 ORACLE_SQL = {
     "bi_latest_prices": LATEST_PRICES,
@@ -207,4 +247,6 @@ ORACLE_SQL = {
     "bi_instrument_stats": INSTRUMENT_STATS,
     "bi_dashboard_rate": DASHBOARD_RATE,
     "bi_layer_head": LAYER_HEAD,
+    "bi_layer_heads": LAYER_HEADS,
+    "bi_layer_counts": LAYER_COUNTS,
 }

@@ -109,6 +109,21 @@ SELECT t.inst_id, epoch_ms(w) AS window_start, arg_min(last, (ts, seq)) AS open,
        round(avg(last), 6) AS avg_price, count(*) AS tick_count FROM ticks t JOIN d ON t.inst_id = d.inst_id AND date_trunc('day', ts) = w GROUP BY t.inst_id, w"""
 
 
+def rollup_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a minute rolled up to 5, 15 and 60 minutes, each from the one before."""
+    fine, out = bars.ohlc(ticks(spark, sf_dir), "1 minute"), None
+    for minutes in (5, 15, 60):
+        fine = bars.rollup(fine, f"{minutes} minutes")
+        part = _ms(fine, "window_start").select(F.lit(minutes).cast("bigint").alias("minutes"), "inst_id", "window_start", "open", "high", "low", "close", F.round("avg_price", 6).alias("avg_price"), "tick_count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+ROLLUP_MINUTES = f"""WITH {TICKS}, m AS (SELECT unnest([5, 15, 60]) AS minutes)
+SELECT CAST(minutes AS BIGINT) AS minutes, inst_id, CAST((ms // (minutes * 60000)) * (minutes * 60000) AS BIGINT) AS window_start, arg_min(last, (ts, seq)) AS open, max(last) AS high, min(last) AS low,
+       arg_max(last, (ts, seq)) AS close, round(avg(last), 6) AS avg_price, count(*) AS tick_count FROM ticks, m GROUP BY 1, 2, 3"""
+
+
 def signal_bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bars.signal_bars(ticks(spark, sf_dir), "1 hour")
     return _ms(out, "bar_time").withColumns({c: F.round(c, 6) for c in ("high", "low")})
@@ -210,6 +225,10 @@ def volatile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("inst_id").agg(F.round(F.avg("variance"), 1).alias("avg_variance"), F.count_if("has_anomaly").alias("odd_windows")).orderBy(F.desc("avg_variance"), "inst_id").limit(10)
 
 
+VOLATILE = f"""SELECT inst_id, round(avg(variance), 1) AS avg_variance, count(*) FILTER (WHERE has_anomaly) AS odd_windows FROM ({MONITORED}) GROUP BY 1
+ORDER BY avg_variance DESC, inst_id LIMIT 10"""
+
+
 def spot_and_swap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = ticks(spark, sf_dir).withColumn("ms", F.unix_millis("ts"))
     spot = t.where("seq % 2 = 0").select(F.col("user_id").alias("symbol"), F.col("seq").alias("spot_seq"), F.col("last").alias("spot_price"), F.col("ms").alias("spot_ms"))
@@ -297,7 +316,7 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trading_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = signals.with_history(_stats(spark, sf_dir)).withColumns({"volatility": F.round(F.col("volatility") / 100, 4)})
     limits = {"volume_threshold": F.lit(400.0), "price_threshold": F.lit(2.0), "risk_threshold": F.lit(12.0), "strategy_type": F.lit("AGGRESSIVE")}
-    out = signals.score(stats.withColumns(limits))
+    out = signals.score(stats.withColumns(limits)).withColumn("mean_price", F.round("mean_price", 6))
     return _ms(out, "window_start", "window_end")
 
 
@@ -305,10 +324,15 @@ def signal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trading_signals(spark, sf_dir).groupBy("signal_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("avg_confidence"), F.round(F.avg("risk_score"), 2).alias("avg_risk"))
 
 
+def _rounded(x: str, places: int = 2) -> str:
+    """The number's decimal digits, rounded half away from zero, as Spark rounds."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {places}) AS DOUBLE)"
+
+
 _SIGNALS = f"""{TICKS}, c AS (SELECT *, round((last % 4) - 0.4::DOUBLE, 6) AS ch FROM ticks),
 x AS (SELECT c.*, date_trunc('hour', ts) - INTERVAL (k) HOUR AS w FROM c, range(3) t(k)),
-s AS (SELECT inst_id, w, arg_max(last, (ts, seq)) AS price, arg_max(ch, (ts, seq)) AS change_percent, sum(volume_24h) AS volume, count(*) AS n FROM x GROUP BY 1, 2),
-v AS (SELECT *, round(round(coalesce(stddev_pop(price) OVER (PARTITION BY inst_id ORDER BY w ROWS 99 PRECEDING), 0), 8) / 100, 4) AS volatility FROM s),
+s AS (SELECT inst_id, w, arg_max(last, (ts, seq)) AS price, arg_max(ch, (ts, seq)) AS change_percent, avg(last) AS mean_price, sum(volume_24h) AS volume, count(*) AS n FROM x GROUP BY 1, 2),
+v AS (SELECT *, {_rounded("round(coalesce(stddev_pop(price) OVER (PARTITION BY inst_id ORDER BY w ROWS 99 PRECEDING), 0), 8) / 100", 4)} AS volatility FROM s),
 g AS (SELECT *, CASE WHEN change_percent > 2 AND volume > 400 THEN 'BUY' WHEN change_percent < -2 AND volume > 400 THEN 'SELL' ELSE 'HOLD' END AS signal_type,
   round(least(greatest(least(10.0 * n, 50.0) + CASE WHEN volume > 400 THEN 20 ELSE 0 END - 5 * volatility, 0.0), 100.0), 2) AS confidence,
   round(least(greatest(10 * volatility + 5 * abs(change_percent) + CASE WHEN volume < 400 THEN 30 ELSE 0 END, 0.0), 100.0), 2) AS risk_score FROM v)"""
@@ -316,6 +340,16 @@ SIGNAL_MIX = f"""WITH {_SIGNALS}
 SELECT signal_type, count(*) AS n, round(avg(confidence), 3) AS avg_confidence, round(avg(risk_score), 2) AS avg_risk FROM g GROUP BY 1"""
 
 
+_CONFIDENCE = _rounded("least(greatest(least(10.0::DOUBLE * n, 50.0) + CASE WHEN volume > 400 THEN 20 ELSE 0 END - 5 * volatility, 0.0::DOUBLE), 100.0::DOUBLE)")
+_RISK = _rounded("least(greatest(10 * volatility + 5 * abs(change_percent) + CASE WHEN volume < 400 THEN 30 ELSE 0 END, 0.0::DOUBLE), 100.0::DOUBLE)")
+_SIDE = "CASE signal_type WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END"
+TRADING_SIGNALS = f"""WITH {_SIGNALS}
+SELECT inst_id, epoch_ms(w) AS window_start, epoch_ms(w) + 10800000 AS window_end, price, change_percent, round(mean_price, 6) AS mean_price, volume, n AS signal_count, volatility,
+       400.0::DOUBLE AS volume_threshold, 2.0::DOUBLE AS price_threshold, 12.0::DOUBLE AS risk_threshold, 'AGGRESSIVE' AS strategy_type, signal_type,
+       round(price + {_SIDE} * 3.0::DOUBLE * (2 * volatility), 6) AS target_price, round(price - {_SIDE} * (2 * volatility), 6) AS stop_loss, {_CONFIDENCE} AS confidence, {_RISK} AS risk_score,
+       sha256(inst_id || '|' || CAST(epoch_us(w) + 10800000000 AS VARCHAR)) AS signal_id FROM g"""
+
+
 def signal_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trading_signals(spark, sf_dir).where("signal_type <> 'HOLD'")
     return rows.select("inst_id", "window_start", "signal_type", "price", F.round("target_price", 4).alias("target_price"), F.round("stop_loss", 4).alias("stop_loss"))
@@ -376,6 +410,7 @@ _ALL = {
     "ohlc_hourly": (ohlc_hourly, OHLC_HOURLY),
     "ohlc_volume_bars": (volume_bars, VOLUME_BARS),
     "rollup_daily": (rollup_daily, ROLLUP_DAILY),
+    "rollup_minutes": (rollup_minutes, ROLLUP_MINUTES),
     "signal_bars": (signal_bars_hourly, SIGNAL_BARS_HOURLY),
     "rolling_metrics": (rolling_metrics, ROLLING_METRICS),
     "market_overview": (overview, OVERVIEW),
@@ -383,14 +418,14 @@ _ALL = {
     "ranking_kinds": (ranking_kinds, RANKING_KINDS),
     "price_jumps": (jumps, JUMPS),
     "market_monitor": (monitored, MONITORED),
-    "monitor_top_volatility": (volatile, None),
+    "monitor_top_volatility": (volatile, VOLATILE),
     "arbitrage": (arbitrage, ARBITRAGE),
     "allow_list": (allow_listed, ALLOW_LISTED),
     "strategy_join": (strategies, STRATEGIES),
     "config_fan_out": (fanned_out, FANNED_OUT),
     "as_of_join": (as_of, AS_OF),
     "breakouts": (breakouts, BREAKOUTS),
-    "trading_signals": (trading_signals, None),
+    "trading_signals": (trading_signals, TRADING_SIGNALS),
     "signal_mix": (signal_mix, SIGNAL_MIX),
     "signal_targets": (signal_targets, SIGNAL_TARGETS),
     "risky_symbols": (risky_symbols, RISKY_SYMBOLS),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,17 +57,23 @@ def split_by_risk(path: str, risky_path: str) -> Callable[[DataFrame, int], None
     return write
 
 
-def to_database(url: str, name: str, retries: int = 3, **options: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends over JDBC and tries again when a write fails."""
+def to_database(url: str, name: str, retries: int = 3, wait_seconds: float = 1.0, batch_column: str | None = None, **options: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends over JDBC and tries again when a write fails, waiting twice as long each time.
+
+    A write that failed half-way is repeated whole. With `batch_column` each row carries its batch's
+    number, so that a target keyed by that number and the row's id takes a repeated row once.
+    """
 
     def write(rows: DataFrame, batch: int) -> None:
+        out = rows.withColumn(batch_column, F.lit(batch).cast("bigint")) if batch_column else rows
         for attempt in range(retries):
             try:
-                rows.write.format("jdbc").option("url", url).option("dbtable", name).options(**options).mode("append").save()
+                out.write.format("jdbc").option("url", url).option("dbtable", name).options(**options).mode("append").save()
                 return
             except Exception:
                 if attempt == retries - 1:
                     raise
+                time.sleep(wait_seconds * 2**attempt)
 
     return write
 

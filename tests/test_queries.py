@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, name):
     same(spark, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["presets_candles", "trades_advanced", "preset_coverage", "monitor_top_volatility", "trading_signals"])
+@pytest.mark.parametrize("name", ["presets_candles", "trades_advanced", "preset_coverage"])
 def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, str(DATA)).count() > 0
 

@@ -4,11 +4,12 @@ import importlib
 import json
 import sys
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.operators import bars, monitor, patterns, presets
+from quotemill.operators import bars, clean, monitor, patterns, presets
 from quotemill.sources import feeds, sinks
 from quotemill.streaming import jobs
 
@@ -58,6 +59,22 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(str(tmp_path / "risky")).collect()] == [2]
 
 
+def test_a_failing_database_is_tried_again_with_longer_waits(spark, monkeypatch):
+    waits = []
+    monkeypatch.setattr(sinks, "time", SimpleNamespace(sleep=waits.append))
+    with pytest.raises(Exception, match="(?i)driver"):
+        sinks.to_database("jdbc:none:x", "t", retries=3, wait_seconds=0.5, batch_column="batch_id")(spark.range(2), 7)
+    assert waits == [0.5, 1.0]
+
+
+def test_relative_times(spark):
+    rows = spark.createDataFrame([(1, T0), (2, T0 + timedelta(hours=2)), (3, None)], "id int, ts timestamp")
+    assert [r.id for r in clean.since(rows, "ts", "1 HOUR").collect()] == [2]
+    assert sorted(r.id for r in clean.since(rows, "ts", "2 HOURS").collect()) == [1, 2]
+    assert clean.since(rows.where("false"), "ts", "1 HOUR").count() == 0
+    assert [r.id for r in clean.since(rows, "ts", "1 HOUR", F.lit(T0)).collect()] == [1, 2]
+
+
 def stream_of(spark, tmp_path, rows, files: int):
     for k in range(files):
         spark.createDataFrame(rows[k::files], TICKS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
