@@ -75,7 +75,8 @@ def carried_through(rows: DataFrame, folder: str, step: Callable[[DataFrame, Dat
     Both are tables in `folder`, one part per batch. A batch reads what the one before it carried and
     replaces its own parts, so that a repeated batch gives the same rows once. `carried` is None in the
     first batch. The step is a plan over DataFrames: sorts and windows in it may spill, and nothing is
-    gathered in Python. Without `every`, the stream runs to its present end.
+    gathered in Python. Only the last two parts of `carried` are needed; older ones may be cleared at any time.
+    Without `every`, the stream runs to its present end.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -91,12 +92,10 @@ def carried_through(rows: DataFrame, folder: str, step: Callable[[DataFrame, Dat
 
 
 def carried_rows(rows: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], schema: str) -> DataFrame:
-    """Run `carried_through` to the stream's present end and read its table."""
-    query = carried_through(rows, folder, step)
-    query.awaitTermination()
+    """Run `carried_through` to the stream's present end and read its table, which a stream without rows leaves empty."""
     fields = StructType.fromDDL(schema)
-    if query.lastProgress is None:  # no batch, no table
-        return rows.sparkSession.createDataFrame([], fields)
+    rows.sparkSession.createDataFrame([], fields).write.mode("overwrite").parquet(f"{folder}/rows/batch_id=-1")
+    carried_through(rows, folder, step).awaitTermination()
     return rows.sparkSession.read.schema(schema).parquet(f"{folder}/rows").select(*fields.names)
 
 

@@ -121,10 +121,17 @@ def test_a_late_price_is_held_against_the_carried_one(spark, tmp_path):
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, TICKS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
     source = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    got = jobs.stream_jumps(source, str(tmp_path / "jumps"))
+    jobs.stream_jumps(source, str(tmp_path / "jumps"))
+    got = jobs.stream_jumps(source, str(tmp_path / "jumps"))  # started again with nothing new: the table stays as it is
     assert {r.seq: r.is_anomaly for r in got.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
 
 
+def test_a_stream_without_rows_gives_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], TICKS).write.parquet(str(tmp_path / "in"))
+    got = jobs.stream_breakouts(spark.readStream.schema(TICKS).parquet(str(tmp_path / "in")), str(tmp_path / "out"))
+    assert got.count() == 0 and got.columns[0] == "inst_id"
+
+
 def test_presets_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     bar = "inst_id string, bar_time timestamp, open double, high double, low double, close double, volume double"
     rows = [(k, T0 + timedelta(days=i), 10.0 + i % 7, 12.0 + i % 7, 9.0, 10.0 + (i * 5) % 11, 1.0 + i % 3) for i in range(40) for k in "ab"]
