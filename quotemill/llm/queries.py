@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import html_wrappers, license_scan, line_dedup, mixing, quality, sharding, simhash, tiling, token_trie, url_filter
+from quotemill.llm import filter_audit, html_wrappers, license_scan, line_dedup, mixing, quality, sharding, simhash, tiling, token_trie, url_filter
 from quotemill.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_token_counts,
         op10_string_tiling,
+        op11_filter_audit,
     )
 }
 
@@ -74,4 +79,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": license_scan.ORACLE_SQL,
     "op7_quality_rules": quality.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
