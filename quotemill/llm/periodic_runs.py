@@ -127,16 +127,38 @@ def _at_boundary(w: np.ndarray, c: int, scale: int, spf: np.ndarray) -> list[tup
     return [(int(x), int(c - y), int(c + x + z)) for x, y, z, bad in zip(q, b, f, composed, strict=True) if not bad]
 
 
-def _recurring(hashes: np.ndarray, size: int, scale: int, n: int) -> list[int]:
-    """Boundaries beside which a run of `size` words stands again at a distance of the octave."""
+def _reached(w: np.ndarray, q: int, start: int, end: int) -> tuple[int, int, int]:
+    """A fragment made as long as its period goes on in the tile."""
+    step = 4 * q
+    while end < len(w):
+        m = min(step, len(w) - end)
+        bad = np.flatnonzero(w[end : end + m] != w[end - q : end - q + m])
+        end += int(bad[0]) if len(bad) else m
+        if len(bad):
+            break
+        step *= 2
+    while start > 0:
+        m = min(step, start)
+        bad = np.flatnonzero(w[start - m : start] != w[start - m + q : start + q])
+        start -= m - 1 - int(bad[-1]) if len(bad) else m
+        if len(bad):
+            break
+        step *= 2
+    return q, start, end
+
+
+def _recurring(hashes: np.ndarray, size: int, scale: int, n: int) -> dict[int, set[int]]:
+    """Boundaries beside which a run of `size` words stands again at distances of the octave, and these distances."""
     rows = -(-n // scale)
-    found = np.zeros(max(rows - 1, 0), bool)
+    found: dict[int, set[int]] = {}
     for lead in (0, size):  # the words after a boundary, the words before it
         grid = np.zeros(rows * scale + size, np.uint64)
         grid[lead : lead + len(hashes)] = hashes
         grid = grid[: rows * scale].reshape(rows, scale)
-        found |= (grid[1:] == grid[:-1, :1]).any(axis=1)
-    return (np.flatnonzero(found) * scale).tolist()
+        same = grid[1:] == grid[:-1, :1]
+        for row in np.flatnonzero(same.any(axis=1)).tolist():
+            found.setdefault(row * scale, set()).update((np.flatnonzero(same[row]) + scale).tolist())
+    return found
 
 
 def solve_tile(w: np.ndarray, low: int, high: int, least: int = SHIFTED) -> list[tuple[int, int, int]]:
@@ -144,7 +166,8 @@ def solve_tile(w: np.ndarray, low: int, high: int, least: int = SHIFTED) -> list
 
     Each holds two periods and MIN_WORDS at least, and its period is its smallest. A stretch of a boundary's octave has
     half a scale of equal words on one side of the boundary, so hashes of half a scale tell which
-    boundaries need their Z-functions; only these are computed.
+    boundaries need their Z-functions. Left out are those whose distances all belong to runs that are known by then,
+    and those deep in a run of a smaller octave, where two periods of a longer one can't be anything but multiples of its period.
     """
     n, out = len(w), []
     hashes, size = (w.astype(np.uint64) + np.uint64(1)) * _BASE, 1  # of runs of `size` words
@@ -159,8 +182,17 @@ def solve_tile(w: np.ndarray, low: int, high: int, least: int = SHIFTED) -> list
             m = len(hashes) - size
             hashes = (hashes[:m] * _BASE) ^ (hashes[size : size + m] + np.uint64(size)) * np.uint64(0xC2B2AE3D27D4EB4F)
             size *= 2
-        for c in _recurring(hashes, size, scale, n):
-            out += _at_boundary(w, c, scale, _smallest_factor(2 * scale))
+        known: dict[int, list[tuple[int, int]]] = {}
+        deep = [(a, b) for _, a, b in out if b - a >= min(6 * scale, n)]
+        for c, distances in sorted(_recurring(hashes, size, scale, n).items()):
+            if any(a <= max(0, c - 2 * scale) and b >= min(n, c + 4 * scale) for a, b in deep):
+                continue
+            if all(any(a <= c < b - q for a, b in known.get(q, ())) for q in distances):
+                continue
+            for q, a, b in _at_boundary(w, c, scale, _smallest_factor(2 * scale)):
+                if not any(x <= a and b <= y for x, y in known.get(q, ())):
+                    out.append(_reached(w, q, a, b))
+                    known.setdefault(q, []).append(out[-1][1:])
         scale *= 2
     return stitched(out)
 
