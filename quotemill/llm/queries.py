@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import filter_audit, html_wrappers, license_scan, line_dedup, mixing, periodic_runs, quality, sharding, simhash, tiling, token_trie, url_filter
+from quotemill.llm import filter_audit, html_wrappers, license_scan, line_dedup, mixing, nearest, periodic_runs, quality, sharding, simhash, tiling, token_trie, url_filter
 from quotemill.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_string_tiling,
         op11_filter_audit,
+        op12_multi_index_hashing,
         op13_periodic_runs,
     )
 }
