@@ -2,11 +2,10 @@
 
 An indicator is a small immutable description; `compute` turns a set of them into columns, each
 shared part once. Windowed and cumulative ones become Spark window expressions over one ordering of
-the instrument's bars. Recursive ones (a value that needs its own last value) run in a grouped fold:
-the bars of an instrument are cut into chunks of bounded length, each with a warm-up of the bars
-before it, so that one busy instrument is spread over tasks and no group is unbounded. The warm-up is
-long enough for what is left of the state before it to fall below the rounding of a double, also in the
-slowest mean of the presets. A bar with a null input leaves a fold's state alone and has its last value.
+the instrument's bars. Recursive ones (a value that needs its own last value) are stated by a few recurrences
+over such columns and run as scans over slots of time (scans.py), so that one busy instrument is spread over
+tasks, no group is unbounded and the values are those of one pass. A bar with a null input leaves a recurrence's state alone and
+has its last value.
 """
 
 from __future__ import annotations
@@ -16,15 +15,13 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-#: Bars in a chunk of the grouped fold, and bars of warm-up before it.
-CHUNK, WARM_UP = 50_000, 10_000
+from quotemill.operators import scans
+
 #: Values whose difference is within this share of them, or of 1, are equal: sums of the same numbers in another order differ by less.
 EQUAL = 1e-9
 
@@ -71,7 +68,10 @@ open_, high, low, close, volume = (Ind(x) for x in INPUTS)
 
 Frame = Callable[[int], WindowSpec]
 _EXPRESSIONS: dict[str, Callable[..., Column]] = {}
-_FOLDS: dict[str, Callable[..., np.ndarray]] = {}
+#: Indicators stated by others: a graph instead of the node.
+_RECURSIONS: dict[str, Callable[..., Ind]] = {}
+#: Recurrences that pass by bar by bar: step(state, *values, *params) gives the next state and a value.
+_WALKS: dict[str, scans.Walk] = {}
 
 
 def _expression(f: Callable[..., Column]) -> Callable[..., Column]:
@@ -80,17 +80,21 @@ def _expression(f: Callable[..., Column]) -> Callable[..., Column]:
     return f
 
 
-def _fold(f: Callable[..., np.ndarray]) -> Callable[..., np.ndarray]:
-    """Registers a fold: f(*input arrays, *params) over the bars of one instrument, in order."""
-    _FOLDS[f.__name__.strip("_")] = f
+def _recursion(f: Callable[..., Ind]) -> Callable[..., Ind]:
+    """Registers an indicator as a graph of others: f(*inputs, *params)."""
+    _RECURSIONS[f.__name__.strip("_")] = f
     return f
 
 
 def register_indicator(name: str, function: Callable, recursive: bool = False) -> Callable[..., Ind]:
-    """Add an indicator of one's own; returns its constructor (inputs first, parameters by keyword order)."""
-    if name in _EXPRESSIONS or name in _FOLDS:
+    """Add an indicator of one's own; returns its constructor (inputs first, parameters by keyword order).
+
+    function: (run, rows, *inputs, *params) gives a column; recursive: (state, *values, *params) gives the next
+    state, a tuple, and a value, bar by bar from the state () on.
+    """
+    if name in _EXPRESSIONS or name in _WALKS or name in _RECURSIONS or name in _SCANS or name in _MEANS:
         raise ValueError(f"{name} is taken")
-    (_FOLDS if recursive else _EXPRESSIONS)[name] = function
+    (_WALKS if recursive else _EXPRESSIONS)[name] = function
     return lambda *inputs, **params: Ind(name, inputs, tuple(params.values()))
 
 
@@ -338,167 +342,172 @@ def since_extreme(run, rows, a, n, top):
     return (F.array_position(F.reverse(values), best) - 1).cast("double")
 
 
-# Folds over one instrument's bars.
+@_expression
+def lag_or_first(run, rows, a, n):
+    """The value n bars ago; where there is none, the first bar's."""
+    return F.coalesce(F.lag(a, int(n)).over(run), F.first(a).over(run.rowsBetween(W.unboundedPreceding, 0)))
 
 
-@_fold
-def ema(x, n):
-    return pd.Series(x).ewm(alpha=2 / (n + 1), adjust=False).mean().to_numpy()
+@_expression
+def mix(run, rows, a, *weights):
+    """Weighted sum of the value and those before it; null until all are there."""
+    return sum((F.lag(a, k).over(run) * w for k, w in enumerate(weights[1:], 1)), a * weights[0])
 
 
-@_fold
-def ema_alpha(x, alpha):
-    return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+@_expression
+def mix_or_self(run, rows, a, *weights):
+    return F.coalesce(mix(run, rows, a, *weights), a)
+
 
+@_expression
+def direction(run, rows, a):
+    """1 for a rise, -1 for none, null at the first bar."""
+    was = F.lag(a).over(run)
+    return F.when(a > was, 1.0).when(was.isNotNull(), -1.0)
 
-@_fold
-def wilder(x, n):
-    return pd.Series(x).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
 
+@_expression
+def slope_of_seven(run, rows, a):
+    """The regression slope of the last seven bars, 0 until eight are there."""
+    steep = sum((F.lag(a, k).over(run) * (3 - k) for k in range(1, 7)), a * 3) / 28
+    return F.when(F.lag(a, 7).over(run).isNotNull(), steep).otherwise(0.0)
 
-@_fold
+
+@_expression
+def fractal_weight(run, rows, h, lo, n):
+    """The weight that the fractal dimension of the last n bars gives; 1 for the first n bars."""
+    half = int(n) // 2
+    span = lambda w: F.max(h).over(w) - F.min(lo).over(w)
+    parts = (span(run.rowsBetween(1 - 2 * half, -half)) + span(rows(half))) / half / (span(rows(n)) / n + 1e-300)
+    size = F.least(F.greatest(F.log2(parts), F.lit(1.0)), F.lit(2.0))
+    weight = F.least(F.greatest(F.exp((size - 1) * -4.6), F.lit(0.01)), F.lit(1.0))
+    return F.when(F.row_number().over(run) <= n, 1.0).when(parts > 0, weight).otherwise(0.0)
+
+
+# Recursive indicators as graphs.
+
+
+@_recursion
 def zlema(x, n):
     """Moves to the value projected by the change over half the length."""
-    back = int((n - 1) // 2)
-    base = np.concatenate((np.repeat(x[:1], min(back, len(x))), x[: max(len(x) - back, 0)]))
-    return pd.Series(2 * x - base).ewm(alpha=2 / (n + 1), adjust=False).mean().to_numpy()
+    return Ind("ema", (x * 2.0 - Ind("lag_or_first", (x,), ((n - 1) // 2,)),), (n,))
 
 
-@_fold
+@_recursion
 def kama(x, n, fast, slow):
     """Smoothing follows the efficiency of the last n moves."""
-    n = int(n)
-    moves = np.abs(np.diff(x, prepend=x[:1]))
-    noise = pd.Series(moves).rolling(n, min_periods=1).sum().to_numpy()
-    shift = np.abs(x - np.concatenate((np.repeat(x[:1], min(n, len(x))), x[: max(len(x) - n, 0)])))
-    efficiency = np.divide(shift, noise, out=np.zeros(len(x)), where=noise > 0)
-    weight = (efficiency * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
-    out = np.array(x, float)
-    for i in range(1, len(x)):
-        out[i] = out[i - 1] + weight[i] * (x[i] - out[i - 1])
-    return out
-
-
-@_fold
-def sar(h, lo, step, most):
-    """Parabolic stop and reverse."""
-    out = np.array(lo, float)
-    up, stop, extreme, speed = True, lo[0], h[0], step
-    for i in range(1, len(h)):
-        stop += speed * (extreme - stop)
-        if up:
-            stop = min(stop, lo[i - 1], lo[max(i - 2, 0)])
-            if lo[i] < stop:
-                up, stop, extreme, speed = False, extreme, lo[i], step
-            elif h[i] > extreme:
-                extreme, speed = h[i], min(speed + step, most)
-        else:
-            stop = max(stop, h[i - 1], h[max(i - 2, 0)])
-            if h[i] > stop:
-                up, stop, extreme, speed = True, extreme, h[i], step
-            elif lo[i] < extreme:
-                extreme, speed = lo[i], min(speed + step, most)
-        out[i] = stop
-    return out
+    noise = Ind("total", (Ind("abs", (x - Ind("lag_or_self", (x,), (1,)),)),), (n,))
+    efficiency = Ind("abs", (x - Ind("lag_or_first", (x,), (n,)),)) / noise
+    weight = efficiency * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)
+    return Ind("mean", (x, weight * weight))
 
 
-@_fold
+@_recursion
 def streak(x):
     """Length of the run of rises (positive) or of the run of bars without one (negative)."""
-    out = np.zeros(len(x))
-    for i in range(1, len(x)):
-        out[i] = max(out[i - 1], 0) + 1 if x[i] > x[i - 1] else min(out[i - 1], 0) - 1
-    return out
+    return Ind("streak_of", (Ind("direction", (x,)),))
 
 
-@_fold
+@_recursion
 def cyber_cycle(x, alpha):
-    smooth = np.array(x, float)
-    smooth[3:] = (x[3:] + 2 * x[2:-1] + 2 * x[1:-2] + x[:-3]) / 6
-    out = np.zeros(len(x))
-    for i in range(2, len(x)):
-        out[i] = (1 - alpha / 2) ** 2 * (smooth[i] - 2 * smooth[i - 1] + smooth[i - 2]) + 2 * (1 - alpha) * out[i - 1] - (1 - alpha) ** 2 * out[i - 2]
-    return out
-
-
-@_fold
-def laguerre_rsi(x, gamma):
-    stage = np.repeat(x[0] if len(x) else 0.0, 4).astype(float)
-    out = np.zeros(len(x))
-    for i, value in enumerate(x[1:], 1):  # before the second bar nothing has moved
-        last = stage.copy()
-        stage[0] = (1 - gamma) * value + gamma * last[0]
-        for k in range(1, 4):
-            stage[k] = -gamma * stage[k - 1] + last[k - 1] + gamma * last[k]
-        steps = stage[:3] - stage[1:]
-        gain, loss = steps[steps > 0].sum(), -steps[steps < 0].sum()
-        out[i] = gain / (gain + loss) if gain + loss else 0.0
-    return out
-
-
-@_fold
+    smooth = Ind("mix_or_self", (x,), (1 / 6, 2 / 6, 2 / 6, 1 / 6))
+    k = (1 - alpha / 2) ** 2
+    return Ind("pair", (0.0, Ind("mix", (smooth,), (k, -2 * k, k))), (2 * (1 - alpha), -((1 - alpha) ** 2)))
+
+
+@_recursion
 def two_pole(x, n):
     """Two-pole Butterworth low-pass filter of period n."""
     a = math.exp(-math.sqrt(2) * math.pi / n)
     b = 2 * a * math.cos(math.sqrt(2) * math.pi / n)
-    out = np.array(x, float)
-    for i in range(2, len(x)):
-        out[i] = (1 - b + a * a) * (x[i] + 2 * x[i - 1] + x[i - 2]) / 4 + b * out[i - 1] - a * a * out[i - 2]
-    return out
+    c = (1 - b + a * a) / 4
+    return Ind("pair", (x, Ind("mix", (x,), (c, 2 * c, c))), (b, -a * a))
 
 
-@_fold
+@_recursion
+def super_smoother(x, n):
+    """Two-pole filter of the mean of neighbouring values."""
+    a = math.exp(-1.414 * math.pi / n)
+    b = 2 * a * math.cos(1.414 * math.pi / n)
+    c = (1 - b + a * a) / 2
+    return Ind("pair", (x, Ind("mix", (x,), (c, c, 0.0))), (b, -a * a))
+
+
+@_recursion
 def gaussian(x, n, poles):
-    """A chain of equal one-pole filters with the bandwidth of period n."""
+    """The value itself for n bars; then each pole mixes in the value of the bar before, which makes one mean of the weight alpha ** poles."""
     beta = (1 - math.cos(2 * math.pi / n)) / (2 ** (1 / poles) - 1)
-    alpha = -beta + math.sqrt(beta * beta + 2 * beta)
-    out = pd.Series(x)
-    for _ in range(int(poles)):
-        out = out.ewm(alpha=min(alpha, 1.0), adjust=False).mean()
-    return out.to_numpy()
+    alpha = min(-beta + math.sqrt(beta * beta + 2 * beta), 1.0)
+    return Ind("mean", (x, Ind("choose", (Ind("over", (Ind("bar_number"), n + 0.5)), alpha**poles, 1.0))))
 
 
-@_fold
+@_recursion
 def one_pole_slope(x, n, most):
     """Exponential mean moved on towards the value by the slope of the last seven bars.
 
     The correction is not fed back into the mean: fed back, a steep price makes it run away.
     """
-    mean = pd.Series(x).ewm(alpha=2 / (n + 1), adjust=False).mean().to_numpy()
-    at = np.arange(7) - 3.0
-    slopes = np.zeros(len(x))
-    if len(x) > 7:
-        slopes[7:] = np.lib.stride_tricks.sliding_window_view(x, 7)[1:] @ at / 28
-    return mean + np.minimum(np.abs(slopes) * n / 4, most) * (x - mean)
+    mean = Ind("ema", (x,), (n,))
+    return mean + Ind("smaller", (Ind("abs", (Ind("slope_of_seven", (x,)),)) * (n / 4), float(most))) * (x - mean)
 
 
-@_fold
-def super_smoother(x, n):
-    """Two-pole filter of the mean of neighbouring values."""
-    a = math.exp(-1.414 * math.pi / n)
-    b = 2 * a * math.cos(1.414 * math.pi / n)
-    out = np.array(x, float)
-    for i in range(2, len(x)):
-        out[i] = (1 - b + a * a) * (x[i] + x[i - 1]) / 2 + b * out[i - 1] - a * a * out[i - 2]
-    return out
-
-
-@_fold
+@_recursion
 def fractal_mean(x, h, lo, n):
     """Exponential mean whose weight follows the fractal dimension of the last n bars."""
-    n = int(n)
-    half = n // 2
-    span = lambda s, m: pd.Series(h).rolling(m).max().shift(s).to_numpy() - pd.Series(lo).rolling(m).min().shift(s).to_numpy()
-    parts = (span(half, half) + span(0, half)) / half / (span(0, n) / n + 1e-300)
-    out = np.array(x, float)
-    for i in range(n, len(x)):
-        if not parts[i] > 0:
-            out[i] = out[i - 1]
-            continue
-        size = min(max(math.log2(parts[i]), 1.0), 2.0)
-        weight = min(max(math.exp(-4.6 * (size - 1)), 0.01), 1.0)
-        out[i] = out[i - 1] + weight * (x[i] - out[i - 1])
-    return out
+    return Ind("mean", (x, Ind("fractal_weight", (h, lo), (n,))))
+
+
+#: Recurrences over ready columns: the kind for the parameters, and the inputs that may be null.
+_SCANS: dict[str, tuple[Callable[..., scans.Affine | scans.Streak], tuple[int, ...]]] = {
+    "mean": (scans.Mean, ()),
+    "pair": (scans.TwoPole, (1,)),
+    "laguerre_rsi": (scans.Ladder, ()),
+    "streak_of": (scans.Streak, (0,)),
+}
+#: Exponential means: the weight of a new value for the parameter. Means of one input, of each other and of sums of them run together.
+_MEANS: dict[str, Callable[[float], float]] = {"ema": lambda n: 2 / (n + 1), "wilder": lambda n: 1 / n, "ema_alpha": float}
+
+
+def sar(state: tuple, h: float, lo: float, step: float, most: float) -> tuple[tuple, float]:
+    """Parabolic stop and reverse. state: rising, stop, extreme, speed, and the last two bars' highs and lows."""
+    if not state:
+        return (True, lo, h, step, h, h, lo, lo), lo
+    up, stop, extreme, speed, h1, h2, l1, l2 = state
+    stop += speed * (extreme - stop)
+    if up:
+        stop = min(stop, l1, l2)
+        if lo < stop:
+            up, stop, extreme, speed = False, extreme, lo, step
+        elif h > extreme:
+            extreme, speed = h, min(speed + step, most)
+    else:
+        stop = max(stop, h1, h2)
+        if h > stop:
+            up, stop, extreme, speed = True, extreme, h, step
+        elif lo < extreme:
+            extreme, speed = lo, min(speed + step, most)
+    return (up, stop, extreme, speed, h, h1, lo, l1), stop
+
+
+_WALKS["sar"] = sar
+
+
+def _stated(nodes: Iterable[Ind]) -> dict[Ind, Ind]:
+    """Every node with its recursions replaced by their graphs."""
+    made: dict[Ind, Ind] = {}
+
+    def visit(node: Ind) -> Ind:
+        if node not in made:
+            inputs = tuple(visit(x) if isinstance(x, Ind) else x for x in node.inputs)
+            if node.op in _RECURSIONS:
+                made[node] = visit(_RECURSIONS[node.op](*inputs, *node.params))
+            else:
+                made[node] = Ind(node.op, inputs, node.params)
+        return made[node]
+
+    for node in nodes:
+        visit(node)
+    return made
 
 
 def _depends(nodes: Iterable[Ind]) -> dict[Ind, int]:
@@ -516,52 +525,74 @@ def _depends(nodes: Iterable[Ind]) -> dict[Ind, int]:
     return stage
 
 
-def _run_folds(df: DataFrame, nodes: list[Ind], key: str, order: str, chunk: int, warm_up: int) -> DataFrame:
-    place = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
-    numbered = df.withColumn("__place", place)
-    own = F.floor(F.col("__place") / chunk).cast("int")
-    also = F.when(F.col("__place") % chunk >= chunk - warm_up, F.array(own, own + 1)).otherwise(F.array(own))
-    dealt = numbered.select("*", F.explode(also).alias("__chunk"))
-    plans = [(n.column, n.op, [x.column if isinstance(x, Ind) else x for x in n.inputs], n.params) for n in nodes]
-    folds = {p[1]: _FOLDS[p[1]] for p in plans}
-    names = df.columns
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        keep = (pdf["__place"] // chunk == pdf["__chunk"]).to_numpy()
-        out = pdf[names].copy()
-        for column, op, inputs, params in plans:
-            arrays = [pdf[x].to_numpy(float) if isinstance(x, str) else np.full(len(pdf), x) for x in inputs]
-            there = ~np.isnan(arrays).any(axis=0)
-            values = np.full(len(pdf), np.nan)
-            if there.any():
-                values[there] = folds[op](*[a[there] for a in arrays], *params)
-            out[column] = pd.Series(values).ffill().to_numpy()
-        return out[keep]
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, *[(p[0], "double") for p in plans]])
-    return dealt.groupBy(key, "__chunk").applyInPandas(fold, schema)
-
-
-def compute(bars: DataFrame, wanted: dict[str, Ind], key: str = "inst_id", order: str = "bar_time", chunk: int = CHUNK, warm_up: int = WARM_UP) -> DataFrame:
-    """`bars` with one column per wanted indicator. Windows are partial at the start of an instrument."""
+def _cascades(waiting: list[Ind], ready: set[Ind]) -> tuple[list[scans.Plan], list[Ind]]:
+    """All means that can run together with others of the same ready input: the plans, and the nodes that they make."""
+    steps: dict[Ind, list[scans.Step]] = {}
+    member: dict[Ind, tuple[Ind, int]] = {}  # node: its cascade's input, and its step there
+
+    def join(node: Ind, root: Ind, step: scans.Step) -> None:
+        steps.setdefault(root, [scans.Step(())]).append(step)
+        member[node] = (root, len(steps[root]) - 1)
+
+    for node in waiting:  # inputs come first
+        first, *others = [*node.inputs, None]
+        if node.op in _MEANS:
+            weight = _MEANS[node.op](*node.params)
+            if first in ready:
+                join(node, first, scans.Step((0,), (1.0,), weight))
+            elif first in member:
+                root, at = member[first]
+                join(node, root, scans.Step((at,), (1.0,), weight))
+        elif node.op in ("add", "sub") and first in member and others[0] in member and member[first][0] == member[others[0]][0]:
+            root, at = member[first]
+            join(node, root, scans.Step((at, member[others[0]][1]), (1.0, 1.0 if node.op == "add" else -1.0)))
+        elif node.op == "mul" and first in member and not isinstance(others[0], Ind):
+            root, at = member[first]
+            join(node, root, scans.Step((at,), (float(others[0]),)))
+    plans, made = [], []
+    for root, chain in steps.items():
+        means = [(n, at) for n, (r, at) in member.items() if r == root and n.op in _MEANS]
+        if means:
+            plans.append(scans.Plan(scans.Cascade(chain, [at for _, at in means]), (root.column,), tuple(n.column for n, _ in means)))
+            made += [n for n, _ in means]
+    return plans, made
+
+
+def compute(bars: DataFrame, wanted: dict[str, Ind], key: str = "inst_id", order: str = "bar_time", slot: float = scans.SLOT) -> DataFrame:
+    """`bars` with one column per wanted indicator. Windows are partial at the start of an instrument.
+
+    slot: seconds (or units of a numeric order) that recurrences are cut into; values don't depend on it.
+    """
     run = W.partitionBy(key).orderBy(order)
     rows: Frame = lambda n: run.rowsBetween(1 - int(n), 0)
     names = bars.columns
+    stated = _stated(wanted.values())
     out = bars.withColumns({c: F.col(c).cast("double") for c in INPUTS if c in names})
-    stage = _depends(wanted.values())
+    stage = _depends(stated[n] for n in wanted.values())
     ready = {n for n, s in stage.items() if s == 0}
     waiting = sorted((n for n in stage if n not in ready), key=lambda n: (stage[n], n.column))
     value = lambda x: F.col(x.column) if isinstance(x, Ind) else F.lit(float(x))
+    name = lambda x: x.column if isinstance(x, Ind) else float(x)
     while waiting:
-        able = [n for n in waiting if n.op in _EXPRESSIONS and all(x in ready for x in n.inputs if isinstance(x, Ind))]
+        open_to = lambda n: all(x in ready for x in n.inputs if isinstance(x, Ind))  # noqa: E731, B023
+        able = [n for n in waiting if n.op in _EXPRESSIONS and open_to(n)]
         if able:
             out = out.withColumns({n.column: _EXPRESSIONS[n.op](run, rows, *map(value, n.inputs), *n.params) for n in able})
         else:
-            able = [n for n in waiting if n.op in _FOLDS and all(x in ready for x in n.inputs if isinstance(x, Ind))]
+            plans, able = _cascades(waiting, ready)
+            for n in waiting:
+                if n.op in _SCANS and open_to(n):
+                    kind, loose = _SCANS[n.op]
+                    plans.append(scans.Plan(kind(*n.params), tuple(map(name, n.inputs)), (n.column,), loose))
+                    able.append(n)
+            walks = [n for n in waiting if n.op in _WALKS and open_to(n)]
+            if plans:
+                out = scans.run_scans(out, plans, key, order, slot)
+            if walks:
+                out = scans.run_walks(out, [(n.column, _WALKS[n.op], tuple(map(name, n.inputs)), n.params) for n in walks], key, order)
+            able += walks
             if not able:
                 raise ValueError(f"unknown indicator {waiting[0].op}")
-            out = _run_folds(out, able, key, order, chunk, warm_up)
         ready.update(able)
         waiting = [n for n in waiting if n not in ready]
-    return out.select(*names, *[F.col(n.column).alias(name) for name, n in wanted.items()])
+    return out.select(*names, *[F.col(stated[n].column).alias(label) for label, n in wanted.items()])

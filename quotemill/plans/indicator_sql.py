@@ -122,11 +122,8 @@ def _fold(op: str, args: list[str], p: tuple, v: str) -> tuple[list[dict[str, st
         return [smooth, bend], {v: ("0::DOUBLE", step), f"{v}b": ("0::DOUBLE", f"s.{v}")}, f"s.{v}"
     if op == "gaussian":
         beta = (1 - math.cos(2 * math.pi / p[0])) / (2 ** (1 / p[1]) - 1)
-        alpha, state, above = min(-beta + math.sqrt(beta * beta + 2 * beta), 1.0), {}, f"n.{x}"
-        for k in range(int(p[1])):
-            above = f"(s.{v}{k} + {_number(alpha)} * ({above} - s.{v}{k}))"
-            state[f"{v}{k}"] = (f"n.{x}", above)
-        return [], state, f"s.{v}{int(p[1]) - 1}"
+        alpha = min(-beta + math.sqrt(beta * beta + 2 * beta), 1.0)
+        return [], {v: (f"n.{x}", f"CASE WHEN n.r > {int(p[0])} THEN s.{v} + {_number(alpha ** p[1])} * (n.{x} - s.{v}) ELSE n.{x} END")}, f"s.{v}"
     if op == "one_pole_slope":
         rise = " + ".join(f"{3 - k} * {_lag(x, k)}" for k in range(1, 7))
         pull = f"least(abs(n.{v}y) * {p[0]} / 4.0::DOUBLE, {p[1]})"

@@ -66,19 +66,71 @@ def test_folds_equal_loops(bars):
     assert np.allclose(series(out, "rsi"), rsi)
 
 
-def test_chunks_do_not_change_the_folds(spark):
-    """Every registered fold that the presets use, on more bars than three chunks hold."""
-    long = spark.createDataFrame(walk(5, 3000), SCHEMA).cache()
-    wanted = {
-        "ema": f.ema(close, 5), "macd": f.macd(close, 3, 6), "wilder": f.wilder(close, 14), "zlema": f.zlema(close, 9), "kama": f.kama(close, 10, 2, 8), "sar": f.parabolic(),
-        "streak": Ind("streak", (close,)), "cycle": Ind("cyber_cycle", (close,), (0.1,)), "laguerre": Ind("laguerre_rsi", (close,), (0.2,)), "two_pole": Ind("two_pole", (close,), (20,)),
-        "gaussian": Ind("gaussian", (close,), (20, 4)), "slope": Ind("one_pole_slope", (close,), (20, 50)), "smooth": Ind("super_smoother", (close,), (20,)),
-        "fractal": Ind("fractal_mean", (close, high, low), (20,)), "alpha": Ind("ema_alpha", (close,), (0.1,)),
-    }
-    whole, cut = compute(long, wanted).cache(), compute(long, wanted, chunk=1100, warm_up=1000).cache()
-    for name in wanted:
-        assert np.allclose(series(whole, name, "s5"), series(cut, name, "s5"), rtol=1e-9, atol=1e-9), name
-    assert cut.count() == 3000
+RECURSIVE = {
+    "ema": f.ema(close, 5), "macd": f.macd(close, 3, 6), "signal": f.ema(f.macd(close, 3, 6), 4), "triple": f.triple_ema(close, 7), "wilder": f.wilder(close, 14), "zlema": f.zlema(close, 9),
+    "kama": f.kama(close, 10, 2, 30), "sar": f.parabolic(), "streak": Ind("streak", (close,)), "cycle": Ind("cyber_cycle", (close,), (0.07,)), "laguerre": Ind("laguerre_rsi", (close,), (0.2,)),
+    "two_pole": Ind("two_pole", (close,), (20,)), "gaussian": Ind("gaussian", (close,), (20, 4)), "slope": Ind("one_pole_slope", (close,), (20, 50)), "smooth": Ind("super_smoother", (close,), (20,)),
+    "fractal": Ind("fractal_mean", (close, high, low), (20,)), "alpha": Ind("ema_alpha", (close,), (0.1,)), "rsi_mean": f.ema(f.rsi(close, 5), 3), "slow": f.ema(close, 100_000),
+}
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_slots_do_not_change_the_recurrences(spark, size):
+    """All kinds, cut after every few bars; a mean of 100,000 bars still knows its start."""
+    long = spark.createDataFrame(walk(5, 40 * size if size < 100 else 3000) + walk(6, 20), SCHEMA).cache()
+    whole, cut = compute(long, RECURSIVE).cache(), compute(long, RECURSIVE, slot=size * 60.0).cache()
+    for name in RECURSIVE:
+        for inst in ("s5", "s6"):
+            assert np.allclose(series(whole, name, inst), series(cut, name, inst), rtol=1e-11, atol=1e-11, equal_nan=True), name
+    assert cut.count() == long.count()
+
+
+def test_recurrences_equal_loops(bars):
+    c, h, lo = (series(bars, x) for x in ("close", "high", "low"))
+    out = compute(bars, RECURSIVE, slot=40 * 60.0).cache()
+    at = range(len(c))
+    streak, two, smooth, cycle, gauss, kama, fractal = [0.0], list(c[:2]), list(c[:2]), [0.0, 0.0], list(c[:20]), [c[0]], list(c[:20])
+    fir = [c[i] if i < 3 else (c[i] + 2 * c[i - 1] + 2 * c[i - 2] + c[i - 3]) / 6 for i in at]
+    beta = (1 - np.cos(np.pi / 10)) / (2**0.25 - 1)
+    alpha = -beta + np.sqrt(beta**2 + 2 * beta)
+    for i in at[1:]:
+        streak.append(max(streak[-1], 0) + 1 if c[i] > c[i - 1] else min(streak[-1], 0) - 1)
+        moves = sum(abs(c[k] - c[k - 1]) for k in range(max(1, i - 9), i + 1))
+        kama.append(kama[-1] + ((abs(c[i] - c[max(0, i - 10)]) / moves) * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (c[i] - kama[-1]))
+        if i < 2:
+            continue
+        for values, root, mean in ((two, 2**0.5, (c[i] + 2 * c[i - 1] + c[i - 2]) / 4), (smooth, 1.414, (c[i] + c[i - 1]) / 2)):
+            a = np.exp(-root * np.pi / 20)
+            b = 2 * a * np.cos(root * np.pi / 20)
+            values.append((1 - b + a * a) * mean + b * values[-1] - a * a * values[-2])
+        cycle.append(0.965**2 * (fir[i] - 2 * fir[i - 1] + fir[i - 2]) + 2 * 0.93 * cycle[-1] - 0.93**2 * cycle[-2])
+        if i >= 20:
+            v = c[i]
+            for _ in range(4):
+                v = alpha * v + (1 - alpha) * gauss[-1]
+            gauss.append(v)
+            span = lambda a, b: max(h[a:b]) - min(lo[a:b])
+            size = np.log2((span(i - 19, i - 9) + span(i - 9, i + 1)) / 10 / (span(i - 19, i + 1) / 20))
+            weight = min(max(np.exp(-4.6 * (min(max(size, 1), 2) - 1)), 0.01), 1)
+            fractal.append(fractal[-1] + weight * (c[i] - fractal[-1]))
+    for name, want in {"streak": streak, "two_pole": two, "smooth": smooth, "cycle": cycle, "gaussian": gauss, "kama": kama, "fractal": fractal}.items():
+        assert np.allclose(series(out, name), want), name
+
+
+def test_a_long_streak_crosses_slots(spark):
+    rows = [("x", T0 + timedelta(minutes=i), *[float(i if i != 2500 else 0)] * 4, 1.0) for i in range(3000)]
+    out = compute(spark.createDataFrame(rows, SCHEMA), {"s": Ind("streak", (close,))}, slot=60_000.0)
+    assert [int(x) for x in series(out, "s", "x")] == [*range(2500), -1, *range(1, 500)]
+
+
+def test_nulls_at_the_start_of_a_slot(spark):
+    prices = [1.0, 2.0, None, None, None, 3.0, 1.0, None]
+    out = {}
+    for slot in (120.0, 6000.0):
+        rows = [("x", T0 + timedelta(minutes=i), p, p, p, p, 1.0) for i, p in enumerate(prices)]
+        frame = spark.createDataFrame(rows, SCHEMA)
+        out[slot] = [series(compute(frame, RECURSIVE, slot=slot), n, "x") for n in ("ema", "signal", "laguerre", "streak", "alpha")]
+    assert np.allclose(out[120.0], out[6000.0], equal_nan=True) and not np.isnan(out[120.0]).any()
 
 
 def test_a_null_leaves_a_fold_alone(spark):
@@ -141,5 +193,7 @@ def test_names(spark, bars):
     assert np.allclose(series(out, "d"), 2 * series(bars, "close"))
     with pytest.raises(ValueError, match="taken"):
         register_indicator("doubled", lambda *a: a[0])
+    peak = register_indicator("peak", lambda state, x: ((max(x, *state),), max(x, *state)) if state else ((x,), x), recursive=True)
+    assert np.allclose(series(compute(bars, {"p": peak(close)}), "p"), np.maximum.accumulate(series(bars, "close")))
     with pytest.raises(ValueError, match="unknown indicator"):
         compute(bars, {"x": Ind("nothing", (close, low))})
