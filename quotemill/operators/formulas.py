@@ -44,6 +44,15 @@ def lowest(x, n):
     return Ind("lowest", (x,), (n,))
 
 
+def top(n):
+    """The upper end of the channel that the n bars before this one form."""
+    return lag(highest(high, n))
+
+
+def bottom(n):
+    return lag(lowest(low, n))
+
+
 def total(x, n):
     return Ind("total", (x,), (n,))
 

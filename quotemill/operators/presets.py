@@ -200,8 +200,8 @@ BANDS: dict[str, Rules] = {
     "KELTNER_CHANNEL": (x_down(close, f.keltner(20, -0.2, 14)), x_up(close, f.keltner(20, 0.2, 14))),
     "KELTNER_BREAKOUT": (x_up(close, f.keltner(20, 2, 10)), x_down(close, f.keltner(20, -2, 10))),
     "ATR_BREAKOUT": (x_up(close, sma(close, 20) + f.atr(14)), x_down(close, sma(close, 20) - f.atr(14))),
-    "DONCHIAN_CHANNELS": (x_up(close, f.highest(high, 15)), x_down(close, f.lowest(low, 15))),
-    "SUPPORT_RESISTANCE_BREAKOUT": (x_up(close, f.highest(high, 15)), x_down(close, f.lowest(low, 15))),
+    "DONCHIAN_CHANNELS": (x_up(close, f.top(15)), x_down(close, f.bottom(15))),
+    "SUPPORT_RESISTANCE_BREAKOUT": (x_up(close, f.top(15)), x_down(close, f.bottom(15))),
     "PERCENTILE": (under(close, f.percentile(close, 20, 25.0)), over(close, f.percentile(close, 20, 75.0))),
     "LINEARREG": (over(close, f.trend(close)), under(close, f.trend(close))),
     "TSF": (over(close, f.trend(close, 20, 1)), under(close, f.trend(close, 20, 1))),
@@ -271,8 +271,8 @@ COMBINED: dict[str, Rules] = {
     "DUAL_MA_WITH_RSI": (x_up(sma(close, 9), sma(close, 21)) & over(_rsi, 50.0), x_down(sma(close, 9), sma(close, 21)) | under(_rsi, 50.0)),
     "TREND_FOLLOWING": (x_up(f.macd(close, 9, 26), ema(f.macd(close, 9, 26), 9)) & over(_rsi, 50.0), x_down(f.macd(close, 9, 26), ema(f.macd(close, 9, 26), 9)) | under(_rsi, 30.0)),
     "TURTLE_TRADING": (
-        x_up(close, f.highest(high, 10)) & over(f.atr(), sma(f.atr(), 10)) & over(close, ema(close, 20)) & over(volume, sma(volume, 10)),
-        x_down(close, f.lowest(low, 5)) | x_down(close, ema(close, 20)),
+        x_up(close, f.top(10)) & over(f.atr(), sma(f.atr(), 10)) & over(close, ema(close, 20)) & over(volume, sma(volume, 10)),
+        x_down(close, f.bottom(5)) | x_down(close, ema(close, 20)),
     ),
     "TRIPLE_SCREEN": (x_up(close, _sma20) & over(_rsi, 50.0), x_down(close, _sma20)),
     "HT_DCPHASE": (under(_rsi, 30.0) & under(close, f.band(close, 20, -2)), over(_rsi, 70.0) | over(close, f.band(close, 20, 2))),
@@ -328,7 +328,7 @@ _loud = lambda n, k: over(volume, sma(volume, n) * k)
 _trendy = over(sma(close, 10), sma(close, 30))
 _calm_rsi = over(_rsi, 45.0) & under(_rsi, 70.0)
 _inside = under(close, _top20) & over(close, _low20)
-_channel = x_up(close, f.highest(high, 20))
+_channel = x_up(close, f.top(20))
 
 BREAKOUTS: dict[str, Rules] = {
     "SUPERTREND": (
@@ -337,7 +337,7 @@ BREAKOUTS: dict[str, Rules] = {
     ),
     "ICHIMOKU_CLOUD_BREAKOUT": (x_up(close, _spans), x_down(close, f.ichimoku(52))),
     "CHANDELIER_EXIT": (
-        x_up(close, f.highest(high, 11)) | x_down(close, f.lowest(low, 11)),
+        x_up(close, f.top(11)) | x_down(close, f.bottom(11)),
         x_down(close, f.highest(high, 22) - f.atr(22) * 3.0) | x_up(close, f.lowest(low, 22) + f.atr(22) * 3.0),
     ),
     "ATR": (x_up(close, _sma20) & over(f.atr(7), sma(f.atr(7), 5) * 0.9), x_down(close, _sma20) | under(close, close - f.atr(7))),
@@ -351,9 +351,9 @@ BREAKOUTS: dict[str, Rules] = {
     "HT_TRENDMODE": (over(close, sma(close, 21)), under(close, sma(close, 21))),
     "ADAPTIVE_BOLLINGER": (x_down(close, f.adaptive_band(20, False)) & _loud(20, 1.05), x_up(close, _sma20) | over(close, f.before(close) * 1.03)),
     "VOLATILITY_BREAKOUT": (x_up(close, f.volatility_band()), x_down(close, f.volatility_band(top=False))),
-    "PRICE_CHANNEL_BREAKOUT": (x_up(close, f.highest(high, 5)), x_down(close, f.lowest(low, 5))),
-    "DONCHIAN_BREAKOUT": (x_up(close, f.highest(high, 5)) & _loud(5, 0.8), x_down(close, f.lowest(low, 5))),
-    "VOLUME_BREAKOUT_CONFIRMATION": (x_up(close, f.highest(high, 15)) & _loud(20, 1.1), x_down(close, f.lowest(low, 15))),
+    "PRICE_CHANNEL_BREAKOUT": (x_up(close, f.top(5)), x_down(close, f.bottom(5))),
+    "DONCHIAN_BREAKOUT": (x_up(close, f.top(5)) & _loud(5, 0.8), x_down(close, f.bottom(5))),
+    "VOLUME_BREAKOUT_CONFIRMATION": (x_up(close, f.top(15)) & _loud(20, 1.1), x_down(close, f.bottom(15))),
     "ELDER_RAY": (
         over(close, ema(close, 13)) & over(high - ema(close, 13), 0.0) & over(low - ema(close, 13), f.before(low - ema(close, 13))),
         under(close, ema(close, 13)) & under(low - ema(close, 13), 0.0) & under(high - ema(close, 13), f.before(high - ema(close, 13))),
@@ -471,12 +471,27 @@ ALIASES = {"MA": "SMA", "BOLL": "BOLLINGER_BANDS"}
 PRESETS: dict[str, Rules] = {name: rules for family in FAMILIES.values() for name, rules in family.items()}
 
 
-def preset(name: str) -> Rules:
-    """The rules of a preset; ValueError for a name that isn't known."""
+def _with_own_bar(rule: Ind | float) -> Ind | float:
+    """The rule with channels that also hold the bar which is compared with them."""
+    if not isinstance(rule, Ind):
+        return rule
+    below = rule.inputs[0] if rule.inputs else None
+    if rule.op == "lag" and isinstance(below, Ind) and below.op in ("highest", "lowest") and below.inputs[0] in (high, low):
+        return below
+    return Ind(rule.op, tuple(map(_with_own_bar, rule.inputs)), rule.params)
+
+
+def preset(name: str, include_current: bool = False) -> Rules:
+    """The rules of a preset; ValueError for a name that isn't known.
+
+    A price breaks out of the channel of the bars before its own. With include_current the channel holds its own bar
+    too, as the source system has it; a close then never leaves it.
+    """
     name = ALIASES.get(name.upper(), name.upper())
     if name not in PRESETS and name not in OPTIONAL:
         raise ValueError(f"unknown preset {name}")
-    return PRESETS.get(name) or OPTIONAL[name]
+    rules = PRESETS.get(name) or OPTIONAL[name]
+    return (_with_own_bar(rules[0]), _with_own_bar(rules[1])) if include_current else rules  # type: ignore[return-value]
 
 
 def preset_signals(bars: DataFrame, names: Iterable[str], strength: float = 80.0) -> DataFrame:
@@ -493,14 +508,3 @@ def preset_signals(bars: DataFrame, names: Iterable[str], strength: float = 80.0
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("preset"), kind(i).alias("signal_type")) for i, n in enumerate(names)]))
     long = out.select("inst_id", "bar_time", "close", cells.alias("c")).select("inst_id", "bar_time", "close", "c.*")
     return long.withColumn("strength", F.when(F.col("signal_type") == "HOLD", 0.0).otherwise(strength))
-
-
-def configured_signals(bars: DataFrame, configs: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Signals of the presets that enabled configurations name, for their symbols (`*`: all)."""
-    alias = F.col("indicator_name")
-    for short, full in ALIASES.items():
-        alias = F.when(F.col("indicator_name") == short, full).otherwise(alias)
-    live = configs.where("enabled").select("config_id", F.col("symbol").alias("__symbol"), alias.alias("preset"))
-    rows = preset_signals(bars, names)
-    named = rows.join(live.withColumnRenamed("__symbol", "inst_id"), ["inst_id", "preset"])
-    return named.unionByName(rows.join(live.where("__symbol = '*'").drop("__symbol"), "preset"))

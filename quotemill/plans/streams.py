@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators import joins
-from quotemill.plans import market
+from quotemill.plans import market, technical
 from quotemill.plans.tables import TICKS, read
 from quotemill.streaming import jobs
 
@@ -75,11 +75,33 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOW_STATS = f"""WITH {market._SIGNALS}
 SELECT inst_id, epoch_ms(w) AS window_start, price, change_percent, volume, n AS signal_count FROM s WHERE w + INTERVAL 3 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 5 SECOND"""
 
+def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configurations that held at each tick's time; the log's times are drawn together to the ticks' span."""
+    ticks = tick_stream(spark, sf_dir).select("inst_id", "ts", "seq")
+    start = F.unix_seconds(F.lit("1992-01-01").cast("timestamp"))
+    span = read(spark, sf_dir, "events").select(F.min(F.col("ts").cast("timestamp")).alias("first"))
+
+    def log(s: SparkSession) -> DataFrame:
+        hours = (F.unix_seconds("changed_at") - start) / 86400  # a day of the log is an hour of the ticks
+        own = technical.config_log(s, sf_dir).crossJoin(F.broadcast(span))  # one row
+        symbol = F.when(F.col("symbol") == "*", "*").otherwise("click")
+        return own.withColumns({"changed_at": F.timestamp_seconds(F.unix_seconds("first") + (hours * 3600).cast("long")), "symbol": symbol}).drop("first")
+
+    out = jobs.stream_configured(ticks, log, _folder(spark))
+    return out.select("config_id", "inst_id", "seq", "indicator_name")
+
+
+CONFIGURED = f"""WITH {TICKS}, {technical.VERSIONS}, v AS (
+  SELECT *, (SELECT date_trunc('second', min(ts)) FROM ticks) + to_hours(CAST(date_diff('day', TIMESTAMP '1992-01-01', changed_at) AS INTEGER)) AS since,
+         (SELECT date_trunc('second', min(ts)) FROM ticks) + to_hours(CAST(date_diff('day', TIMESTAMP '1992-01-01', until) AS INTEGER)) AS till FROM versions)
+SELECT config_id, inst_id, seq, 'MA' || period AS indicator_name FROM ticks JOIN v ON enabled AND (symbol = '*' OR inst_id = 'click') AND ts >= since AND (till IS NULL OR ts < till)"""
+
 _ALL = {
     "stream_hourly_bars": (hourly_bars, HOURLY_BARS),
     "stream_arbitrage": (pairs, PAIRS),
     "stream_price_jumps": (jumps, market.JUMPS),
     "stream_breakouts": (breakouts, market.BREAKOUTS),
+    "stream_configured": (configured, CONFIGURED),
     "stream_window_stats": (window_stats, WINDOW_STATS),
 }
 QUERIES = {k: q for k, (q, _) in _ALL.items()}

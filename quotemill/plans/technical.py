@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import formulas as f
 from quotemill.operators import presets, trades
+from quotemill.operators.configured import configured_signals, validity
 from quotemill.operators.indicators import Ind, close, compute, high, low, volume
-from quotemill.plans.indicator_sql import indicator_tables, preset_rows
+from quotemill.plans.indicator_sql import _exceeds, indicator_tables, preset_rows
 from quotemill.plans.tables import BARS, daily_bars, read
 
 def _bar_ms() -> Column:
@@ -167,10 +168,97 @@ def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("MA", "BOLL", "SIZE_FACTOR", "SMA", "GOLDEN_CROSS", "SEASONALITY")])
     symbols = F.array(*[F.lit(x) for x in ("*", "1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "*")])
     configs = n.select(F.col("n_name").alias("config_id"), F.get(symbols, F.col("n_nationkey")).alias("symbol"), F.get(names, F.col("n_nationkey")).alias("indicator_name"), (F.col("n_nationkey") != 4).alias("enabled"))
-    out = presets.configured_signals(daily_bars(spark, sf_dir), configs, ["SMA", "BOLLINGER_BANDS", "SIZE_FACTOR", "GOLDEN_CROSS", "SEASONALITY"])
+    out = configured_signals(daily_bars(spark, sf_dir), configs.withColumn("params", F.lit(None).cast("map<string, string>")))
     return out.groupBy("config_id", "preset", "inst_id", "signal_type").agg(F.count("*").alias("n"))
 
 
+#: Indicator, symbol and parameters of the configurations below, by the number of a nation.
+_FORMS = [
+    ("SMA", "*", {"period": "5"}), ("SMA", "*", {"period": "30"}), ("SMA", "1-URGENT", {"short_period": "3", "long_period": "12"}), ("BOLL", "2-HIGH", {"period": "10", "k": "1.5"}),
+    ("EMA", "*", {"period": "12", "unknown": "1"}), ("SMA", "3-MEDIUM", {"short_period": "x"}), ("DONCHIAN_CHANNELS", "*", {"period": "20"}), ("SMA", "*", {"period": "7"}),
+]
+
+
+def configured_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and signals of one indicator at several lengths, of others with parameters of their own, and none of a disabled one."""
+    n = read(spark, sf_dir, "nation").where(f"n_nationkey < {len(_FORMS)}")
+    pick = lambda values: F.get(F.array(*values), F.col("n_nationkey"))
+    params = [F.create_map(*[F.lit(x) for kv in p.items() for x in kv]) for _, _, p in _FORMS]
+    names = {"indicator_name": [F.lit(f"{x[0]}_{i}") for i, x in enumerate(_FORMS)], "indicator_type": [F.lit(x[0]) for x in _FORMS], "symbol": [F.lit(x[1]) for x in _FORMS]}
+    configs = n.select(F.col("n_name").alias("config_id"), *[pick(v).alias(c) for c, v in names.items()], pick(params).alias("params"), (F.col("n_nationkey") != 7).alias("enabled"))
+    out = configured_signals(daily_bars(spark, sf_dir), configs)
+    upper = F.round(F.col("extra_values")["upper"], 4).alias("upper")
+    return out.select("config_id", "preset", "inst_id", _bar_ms(), F.round("indicator_value", 4).alias("value"), upper, "signal_type")
+
+
+def _mean(n: int) -> str:
+    return f"avg(close) OVER {_rows(n)}"
+
+
+def _crossing(up: str, down: str) -> str:
+    """BUY where the side `up` becomes 1 after -1, SELL where `down` becomes -1 after 1; of rows with k, inst_id and r."""
+    before = "last_value({} IGNORE NULLS) OVER (PARTITION BY k, inst_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN {up} = 1 AND {before.format(up)} = -1 THEN 'BUY' WHEN {down} = -1 AND {before.format(down)} = 1 THEN 'SELL' ELSE 'HOLD' END"
+
+
+_SIDE = f"CASE WHEN {_exceeds('a', 'b')} THEN 1 WHEN {_exceeds('b', 'a')} THEN -1 END"
+CONFIGURED_PARAMETERS = f"""WITH RECURSIVE {BARS}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY inst_id ORDER BY bar_time) AS r FROM bars),
+e AS (SELECT inst_id, r, close AS v FROM n WHERE r = 1 UNION ALL SELECT n.inst_id, n.r, v + 2.0::DOUBLE / 13 * (n.close - v) FROM e JOIN n ON n.inst_id = e.inst_id AND n.r = e.r + 1),
+c AS (SELECT *, lag(hi) OVER (PARTITION BY inst_id ORDER BY r) AS top, lag(lo) OVER (PARTITION BY inst_id ORDER BY r) AS bottom FROM (SELECT *, max(high) OVER {_rows(20)} AS hi, min(low) OVER {_rows(20)} AS lo FROM n)),
+lines AS (
+  SELECT 0 AS k, inst_id, r, bar_time, close AS a, {_mean(5)} AS b, {_mean(5)} AS value FROM n
+  UNION ALL SELECT 1, inst_id, r, bar_time, close, {_mean(30)}, {_mean(30)} FROM n
+  UNION ALL SELECT 2, inst_id, r, bar_time, {_mean(3)}, {_mean(12)}, {_mean(3)} FROM n WHERE inst_id = '1-URGENT'
+  UNION ALL SELECT 4, inst_id, n.r, bar_time, close, v, v FROM n JOIN e USING (inst_id, r)
+  UNION ALL SELECT 5, inst_id, r, bar_time, {_mean(9)}, {_mean(21)}, {_mean(9)} FROM n WHERE inst_id = '3-MEDIUM'
+),
+sides AS (
+  SELECT k, inst_id, r, bar_time, value, NULL::DOUBLE AS upper, {_SIDE} AS up, {_SIDE} AS down FROM lines
+  UNION ALL SELECT 6, inst_id, r, bar_time, (top + bottom) / 2, top, CASE WHEN close > top THEN 1 WHEN close < top THEN -1 END, CASE WHEN close > bottom THEN 1 WHEN close < bottom THEN -1 END FROM c
+),
+crossed AS (SELECT *, {_crossing('up', 'down')} AS signal_type FROM sides),
+band AS (SELECT *, {_mean(10)} AS m, stddev_pop(close) OVER {_rows(10)} AS s FROM n WHERE inst_id = '2-HIGH'),
+found AS (
+  SELECT k, inst_id, r, bar_time, value, upper, signal_type FROM crossed
+  UNION ALL SELECT 3, inst_id, r, bar_time, m, m + 1.5 * s, CASE WHEN close < m - 1.5 * s THEN 'BUY' WHEN close > m + 1.5 * s THEN 'SELL' ELSE 'HOLD' END FROM band
+)
+SELECT n_name AS config_id, (['SMA', 'SMA', 'SMA', 'BOLLINGER_BANDS', 'EMA', 'SMA', 'DONCHIAN_CHANNELS'])[k + 1] AS preset, inst_id, epoch_ms(bar_time) AS bar_ms, round(value, 4) AS value, round(upper, 4) AS upper, signal_type
+FROM found JOIN nation ON n_nationkey = k WHERE r > 1"""
+
+
+def config_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of changes: each nation sets, changes or removes its region's configuration; every row is sent again after a day."""
+    n = read(spark, sf_dir, "nation")
+    again = F.explode(F.array(F.lit(0), F.lit(1)))
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("1992-01-01 00:00:00").cast("timestamp")) + F.col("n_nationkey") * 90 * 86400 + F.col("again") * 86400)
+    period = (F.col("n_nationkey") % 3 * 4 + 3).cast("string")
+    return n.withColumn("again", again).select(
+        F.concat(F.lit("c"), "n_regionkey").alias("config_id"), at.alias("changed_at"), (F.col("n_nationkey") % 4 != 3).alias("enabled"),
+        F.when(F.col("n_regionkey") % 2 == 0, "*").otherwise("1-URGENT").alias("symbol"), F.lit("MA").alias("indicator_type"), F.concat(F.lit("MA"), period).alias("indicator_name"),
+        F.create_map(F.lit("period"), period).alias("params"),
+    )
+
+
+def configured_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals by the configuration that held at each bar's own time."""
+    out = configured_signals(daily_bars(spark, sf_dir), validity(config_log(spark, sf_dir)), intervals=True)
+    return out.select("config_id", "inst_id", _bar_ms(), F.round("indicator_value", 4).alias("value"), "signal_type")
+
+
+#: Versions as the log has them, repeated ones too.
+VERSIONS = """versions AS (
+  SELECT *, lead(changed_at) OVER (PARTITION BY config_id ORDER BY changed_at) AS until FROM (
+    SELECT 'c' || n_regionkey AS config_id, TIMESTAMP '1992-01-01' + to_days(CAST(n_nationkey * 90 + again AS INTEGER)) AS changed_at, n_nationkey % 4 <> 3 AS enabled,
+           CASE WHEN n_regionkey % 2 = 0 THEN '*' ELSE '1-URGENT' END AS symbol, n_nationkey % 3 * 4 + 3 AS period
+    FROM nation, (SELECT unnest([0, 1]) AS again)))"""
+CONFIGURED_AS_OF = f"""WITH {BARS}, {VERSIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY inst_id ORDER BY bar_time) AS r FROM bars),
+lines AS ({' UNION ALL '.join(f'SELECT {k} AS k, inst_id, r, bar_time, close AS a, {_mean(k)} AS b FROM n' for k in (3, 7, 11))}),
+sides AS (SELECT *, {_SIDE} AS side FROM lines),
+crossed AS (SELECT *, {_crossing('side', 'side')} AS signal_type FROM sides)
+SELECT config_id, inst_id, epoch_ms(bar_time) AS bar_ms, round(b, 4) AS value, signal_type FROM crossed
+JOIN versions ON enabled AND k = period AND (symbol = '*' OR symbol = inst_id) AND bar_time >= changed_at AND (until IS NULL OR bar_time < until) WHERE r > 1"""
+
+
 def _trades(spark: SparkSession, sf_dir: str, exits: trades.Exits, name: str = "GOLDEN_CROSS") -> DataFrame:
     enter, leave = presets.preset(name)
     out = compute(daily_bars(spark, sf_dir), {"entry": enter, "exit": leave, "rsi": f.rsi(close)})
@@ -205,6 +293,8 @@ _ALL = {
     "preset_average_crossings": (average_crossings, AVERAGE_CROSSINGS),
     "preset_counts": (band_reversals, BAND_REVERSALS),
     "preset_configured": (configured, _configured_sql()),
+    "configured_parameters": (configured_parameters, CONFIGURED_PARAMETERS),
+    "configured_as_of": (configured_as_of, CONFIGURED_AS_OF),
     "preset_coverage": (coverage, _coverage_sql()),
     "trades_stops": (partial(_trades, exits=trades.Exits()), _trades_sql(trades.Exits())),
     "trades_multi_level": (partial(_trades, exits=trades.MULTI_LEVEL), _trades_sql(trades.MULTI_LEVEL)),

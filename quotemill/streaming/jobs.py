@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from quotemill.functions import columns as C
-from quotemill.operators import bars, monitor, patterns, presets, signals
+from quotemill.operators import bars, configured, monitor, patterns, presets, signals
 
 #: How late a row may come, and the bars of a key that a stream of indicators remembers.
 LATENESS, HISTORY_BARS = "5 seconds", 500
@@ -161,6 +161,23 @@ def stream_presets(bars_in: DataFrame, folder: str, names: list[str], history: i
     return carried_rows(rows, folder, step, "inst_id string, bar_time timestamp, close double, preset string, signal_type string, strength double")
 
 
+def stream_configured(rows: DataFrame, log: Callable[[SparkSession], DataFrame], folder: str, at: str = "ts") -> DataFrame:
+    """Each row of a stream with every configuration that held at its own time; adds config_id, indicator_name and params.
+
+    The log of changes is read anew for each batch, so a configuration that is set, changed or removed meanwhile counts from
+    its own time on, for rows that come late too.
+    """
+    version = F.struct("indicator_name", "params")
+
+    def step(batch: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        intervals = configured.validity(log(batch.sparkSession)).withColumn("version", version)
+        out = configured.valid_at(batch, intervals, "inst_id", at)
+        return out.select(*batch.columns, "config_id", "version.*"), batch.limit(0)
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return carried_rows(rows, folder, step, f"{fields}, config_id string, indicator_name string, params map<string, string>")
+
+
 def run_to_end(rows: DataFrame, folder: str) -> DataFrame:
     """Write what a stream has now to a table, with a checkpoint beside it, and read the table."""
     query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
