@@ -93,9 +93,13 @@ def _noise(name: str, attributes: str, in_article: bool) -> int:
         return 2
     if "=" not in attributes or name in ("html", "body"):
         return 0
-    words = {w for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+    names = [n for m in NAMED.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    words = {w for n in names for w in re.split(r"[^a-z]+", n)}
     if name in ("article", "main"):
         return 2 if words & FOREIGN_WORDS else 0
+    if in_article and not words & FOREIGN_WORDS:  # there a word that is but a part of a name (menu-card) needs the wrapper's consent
+        whole = any(set(re.split(r"[^a-z]+", n)) - {""} <= NOISE_WORDS for n in names if re.search("[a-z]", n))
+        return 2 if whole else 1 if words & (NOISE_WORDS | UNSURE_WORDS) else 0
     return 2 if words & NOISE_WORDS else (1 if in_article else 2) if words & UNSURE_WORDS else 0
 
 
@@ -362,27 +366,47 @@ class Wrapper:
         return [place for place, n in zip(self.matched[key], counts, strict=True) for _ in range(n)]
 
 
+def _in_article(node: tuple | None) -> int:
+    """2: in an article; 1: in an element with the main role; 0: in neither."""
+    found = 0
+    while node:
+        token, node = node
+        if token.startswith("<article"):
+            return 2
+        found = max(found, int(token.endswith("*>")))
+    return found
+
+
 def main_text(page: str | None, wrapper: Wrapper | None = None) -> str:
     """The content blocks of a page joined by line feeds; without a wrapper the page's own is taken.
 
-    If nothing in the content regions is left, all blocks without noise that aren't template are given, and if there is none, those that are.
+    Content is what stands in the wrapper's content regions. A page's articles are so even if the wrapper takes them for
+    template, as where a host has a story twice, unless the regions hold more text than these articles do: then
+    they are teasers. If nothing is left, all blocks without noise that aren't template are given, and if there is none, those that are.
     """
     items, counts, blocks = page_items(page)
     wrapper = wrapper or Wrapper(items)
-    kept, other, template = [], [], []
-    for place, (text, noise, node) in zip(wrapper.places(items, counts), blocks, strict=True):
+    kept, own, other, template = [], [], [], []  # kept and own: (block number, text)
+    for k, (place, (text, noise, node)) in enumerate(zip(wrapper.places(items, counts), blocks, strict=True)):
         same = place >= 0 and wrapper.template[place]
         if noise == 2 or (noise == 1 and same):
             continue
+        role = _in_article(node)
         inside = wrapper.inside[place] if place >= 0 else None
         if inside is None:
             inside = not wrapper.regions
             while node and not inside:
                 inside, node = node[0] in wrapper.regions, node[1]
         if inside:
-            kept.append(text)
+            kept.append((k, text, role))
+        elif role:
+            own.append((k, text, role))
         (template if same else other).append(text)
-    return "\n".join(kept or other or template)
+    most = max((role for _, _, role in kept + own), default=0)  # an element with the main role counts where no article is
+    missed = [x for x in own if x[2] == most]
+    if missed and sum(len(x[1]) for x in missed) >= sum(len(x[1]) for x in kept):
+        kept = sorted(missed + [x for x in kept if x[2] == most])
+    return "\n".join([text for _, text, _ in kept] or other or template)
 
 
 def as_pattern(items: list[list]) -> str:

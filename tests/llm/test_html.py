@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+from html.parser import HTMLParser
 
 from quotemill.llm import html_wrappers as h
 
@@ -137,12 +138,94 @@ def test_a_menu_list_that_is_the_same_everywhere_goes(spark):
     assert texts(spark, rows) == plainly(rows) == want
 
 
-def test_the_wrapper_overrules_an_article_that_is_the_same_everywhere(spark):
-    of = lambda i: f"<body><article class='teaser'><p>Read our magazine</p></article><div class='text'><p>text {i}</p><p>more {i}</p></div></body>"
+def test_the_wrapper_overrules_a_teaser(spark):
+    """An article that is the same everywhere is none where more text varies; a single page has its labels alone."""
+    of = lambda i: f"<body><article class='teaser'><p>Read our magazine</p></article><div class='text'><p>the long text number {i}</p><p>more {i}</p></div></body>"
     rows = [(i, "http://h.org/x", of(i)) for i in range(4)] + [(9, "http://one.org/", of(9))]
     got = texts(spark, rows)
-    assert {k: v for k, v in got.items() if k < 9} == {i: f"text {i}\nmore {i}" for i in range(4)}
-    assert got[9] == "Read our magazine"  # a single page: its labels alone
+    assert {k: v for k, v in got.items() if k < 9} == {i: f"the long text number {i}\nmore {i}" for i in range(4)}
+    assert got[9] == "Read our magazine"
+
+
+STORY = "<h1>The bridge is open</h1><p>After years of work the bridge was opened yesterday by the mayor.</p><p>Thousands came to see it.</p>"
+TOLD = "The bridge is open\nAfter years of work the bridge was opened yesterday by the mayor.\nThousands came to see it."
+
+
+def test_a_story_that_a_host_has_twice_is_kept(spark):
+    """Dates, counters and side columns that differ beside it don't make a template of it."""
+    meta = lambda i: f"<div class='meta'>{i} May 2024</div>"
+    around = {
+        "date": lambda i: f"<body>{meta(i)}<article>{STORY}</article></body>",
+        "counter": lambda i: f"<body><article>{STORY}</article><p>Read {i * 37} times</p><div>Session {i}</div></body>",
+        "side": lambda i: f"<body><div class='sidebar'><ul>{'<li>link</li>' * i}</ul></div><main><article>{STORY}</article></main><span>{i}</span></body>",
+        "role": lambda i: f"<body>{meta(i)}<div role='main'>{STORY}</div></body>",
+    }
+    rows, want = [], {}
+    for k, (name, of) in enumerate(around.items()):
+        for i in range(1, 4):
+            rows.append((100 * k + i, f"http://{name}.org/x", of(i)))
+            want[100 * k + i] = TOLD
+    for i in range(5):  # other stories of the host stand beside the mirrored one
+        text = f"story number {i} of this host is another one and it has some length"
+        rows.append((1000 + i, "http://date.org/x", f"<body>{meta(i)}<article><h1>T{i}</h1><p>{text}</p></article></body>"))
+        want[1000 + i] = f"T{i}\n{text}"
+    assert texts(spark, rows) == want
+
+
+def test_words_of_names_in_an_article_need_the_wrapper(spark):
+    of = lambda i: f"<article><p>text {i}</p><div class='menu-card'><p>soup {i}</p></div><figure class='banner-image'>bridge {i}</figure><div class='menu'><p>Home {i}</p></div><div class='newsletter-box'><p>Sign up</p></div></article>"
+    rows = [(i, "http://h.org/x", of(i)) for i in range(3)]
+    assert texts(spark, rows) == {i: f"text {i}\nsoup {i}\nbridge {i}" for i in range(3)}
+
+
+class Plain(HTMLParser):
+    """An article's paragraphs by a parser of its own: all text in <article> but in elements that name noise."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[tuple[str, bool]] = []
+        self.blocks: list[str] = [""]
+
+    def handle_starttag(self, tag, attrs):
+        noise = tag in ("nav", "footer", "aside", "form", "script") or dict(attrs).get("class") in ("ad", "comments", "sidebar")
+        self.open.append((tag, noise))
+        if tag in ("p", "h1", "li", "div", "ul", "nav", "footer", "aside", "form", "article"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        while self.open and self.open.pop()[0] != tag:
+            pass
+        self.blocks.append("") if tag not in ("b", "i", "a") else None
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(n for _, n in self.open):
+            self.blocks[-1] += data
+
+    def text(self) -> str:
+        return "\n".join(x for x in (" ".join(b.split()) for b in self.blocks) if x)
+
+
+def test_generated_pages_equal_a_plain_reading(spark):
+    """200 pages of 12 hosts with templates of their own, some stories mirrored within and across hosts."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    stories = ["".join(f"<{t}>{said(rng.randint(4, 30))}</{t}>" for t in ["h1", *rng.choices(["p", "p", "li", "p"], k=rng.randint(2, 9))]) for _ in range(60)]
+    rows, want = [], {}
+    for i in range(200):
+        host = i % 12
+        menu = "".join(f"<li><a href='/{k}'>Item {k} of {host}</a></li>" for k in range(host % 5 + 2))
+        parts = [f"<nav><ul>{menu}</ul></nav>", f"<div class='date'>{rng.randint(1, 28)} May</div>" if host % 2 else "", f"<div class='ad'><p>{said(5)}</p></div>"]
+        story = rng.choice(stories)
+        inner = story + (f"<div class='ad'>{said(4)}</div>" if rng.random() < 0.3 else "") + (f"<aside><p>{said(6)}</p></aside>" if rng.random() < 0.3 else "") + f"<p>a<b>b</b> {said(3)} &amp; c</p>"
+        tail = [f"<div class='sidebar'><p>{said(8)}</p></div>" if host % 3 else "", f"<p>{rng.randint(1, 999)} readers</p>" if host % 4 == 0 else "", f"<footer><p>Host {host}</p></footer>"]
+        page = f"<html><body>{''.join(parts)}<article>{inner}</article>{''.join(tail)}</body></html>"
+        reader = Plain()
+        reader.feed(page)
+        rows.append((i, f"http://h{host}.org/{i}", page))
+        want[i] = reader.text()
+    got = texts(spark, rows)
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
 def test_unsure_words_in_an_article_go_by_the_wrapper(spark):
