@@ -7,6 +7,7 @@ of all ticks sends one row per bar and task.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quotemill.functions import columns as C
@@ -72,3 +73,45 @@ def signal_bars(ticks: DataFrame, every: str = "1 minute") -> DataFrame:
         )
         .select("inst_id", F.col("w.start").alias("bar_time"), "open", "high", "low", "close", "volume")
     )
+
+
+def arrival_bars(ticks: DataFrame, every_seconds: int = 60, slot_rows: int = 1 << 20) -> DataFrame:
+    """Bars as they close on arrival: a tick of another minute than the one before it ends a bar; seq is the order of arrival.
+
+    ticks: inst_id, ts, seq, last, volume_24h. A late tick opens its minute again, as a bar of its own. The last bar of
+    an instrument is still open and isn't given. completed_by is the seq of the tick that ended the bar. Rows without a time are left
+    out. Rows are dealt by instrument and slot of arrival; a slot begins with what those before it left, one row per slot.
+    """
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (every_seconds * 1_000_000)).cast("long")
+    cell, run = ["__inst", "__slot"], W.partitionBy("__inst", "__slot").orderBy("seq")
+    before = W.partitionBy("__inst").orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
+    rows = ticks.where("ts is not null").select(F.struct("inst_id").alias("__inst"), F.floor(F.col("seq") / slot_rows).alias("__slot"), "seq", at.alias("at"), "last", "volume_24h")
+    ends = rows.groupBy(*cell).agg(F.max_by("at", "seq").alias("end"))
+    ends = ends.select(*cell, F.last("end").over(before).alias("came"))
+    last = F.coalesce(F.lag("at").over(run), F.col("came"))
+    started = rows.join(ends, cell).withColumn("start", F.when(last.isNull() | (last != F.col("at")), F.col("seq")))
+    starts = started.groupBy(*cell).agg(F.max("start").alias("newest"))
+    starts = starts.select(*cell, F.last("newest", ignorenulls=True).over(before).alias("open"))
+    own = F.coalesce(F.last("start", ignorenulls=True).over(run.rowsBetween(W.unboundedPreceding, 0)), F.col("open"))
+    bars = started.join(starts, cell).withColumn("start", own).groupBy("__inst", "start", "at").agg(
+        F.min_by("last", "seq").alias("open"), F.max("last").alias("high"), F.min("last").alias("low"), F.max_by("last", "seq").alias("close"),
+        F.max_by("volume_24h", "seq").alias("volume"), F.count("*").alias("tick_count"),
+    )
+    ended = F.lead("start").over(W.partitionBy("__inst").orderBy("start"))
+    return bars.withColumn("completed_by", ended).where("completed_by is not null").select(
+        "__inst.inst_id", F.timestamp_seconds(F.col("at") * every_seconds).alias("bar_time"), "open", "high", "low", "close", "volume", "tick_count", "completed_by"
+    )
+
+
+def held_history(bars: DataFrame, history: int = 500, length: int = 20, order: str = "completed_by") -> DataFrame:
+    """Adds what the last `history` bars of an instrument tell: how many they are, the mean of the last `length` closes, the extremes."""
+    run = W.partitionBy("inst_id").orderBy(order)
+    rows = lambda n: run.rowsBetween(1 - n, 0)
+    return bars.withColumns(
+        {
+            "bars_held": F.count("*").over(rows(history)),
+            "mean_close": F.avg("close").over(rows(length)),
+            "top_close": F.max("close").over(rows(history)),
+            "bottom_close": F.min("close").over(rows(history)),
+        }
+    )

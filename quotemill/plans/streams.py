@@ -14,7 +14,7 @@ from quotemill.plans.tables import TICKS, read
 from quotemill.streaming import jobs
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder where the cluster keeps its checkpoints; a temporary one only on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
@@ -34,7 +34,7 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.run_to_end(jobs.stream_bars(tick_stream(spark, sf_dir), "1 hour"), _folder(spark))
+    out = jobs.run_to_end(jobs.stream_bars(tick_stream(spark, sf_dir), "1 hour"), new_folder(spark))
     return out.select("inst_id", F.unix_millis("window_start").alias("window_start"), "open", "high", "low", "close", "volume", F.round("avg_price", 6).alias("avg_price"), "tick_count")
 
 
@@ -47,7 +47,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tick_stream(spark, sf_dir)
     spot = t.where("seq % 2 = 0").select(F.col("user_id").alias("symbol"), F.col("seq").alias("spot_seq"), F.col("last").alias("spot_price"), F.col("ts").alias("spot_ts"))
     swap = t.where("seq % 2 = 1").select(F.col("user_id").alias("symbol"), F.col("seq").alias("swap_seq"), F.col("last").alias("future_price"), F.col("ts").alias("swap_ts"))
-    out = joins.arbitrage(jobs.run_to_end(jobs.stream_pairs(spot, swap, 3600), _folder(spark)))
+    out = joins.arbitrage(jobs.run_to_end(jobs.stream_pairs(spot, swap, 3600), new_folder(spark)))
     return out.select("symbol", "spot_seq", "swap_seq", F.round("spread", 6).alias("spread"), "spread_rate", "direction", "profit_estimate")
 
 
@@ -56,19 +56,19 @@ PAIRS = market.ARBITRAGE.replace("b.ms BETWEEN a.ms - 3600000 AND a.ms + 3600000
 
 
 def jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.stream_jumps(tick_stream(spark, sf_dir), _folder(spark))
+    out = jobs.stream_jumps(tick_stream(spark, sf_dir), new_folder(spark))
     return out.where("is_anomaly").select("inst_id", "seq", "last")
 
 
 def breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tick_stream(spark, sf_dir).withColumn("change_percent", F.round((F.col("last") % 4) - 0.4, 6))
-    out = jobs.stream_breakouts(t, _folder(spark), 0.6, 1.5, 6 * 3600)
+    out = jobs.stream_breakouts(t, new_folder(spark), 0.6, 1.5, 6 * 3600)
     return out.withColumns({c: F.unix_millis(c) for c in ("calm_start", "calm_end", "break_ts")}).withColumn("calm_price", F.round("calm_price", 6))
 
 
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tick_stream(spark, sf_dir).select("inst_id", "ts", "seq", F.col("last").alias("price"), F.round((F.col("last") % 4) - 0.4, 6).alias("change_percent"), F.col("volume_24h").alias("volume"))
-    out = jobs.run_to_end(jobs.stream_window_stats(rows, "3 hours", "1 hour"), _folder(spark))
+    out = jobs.run_to_end(jobs.stream_window_stats(rows, "3 hours", "1 hour"), new_folder(spark))
     return out.select("inst_id", F.unix_millis("window_start").alias("window_start"), "price", "change_percent", "volume", "signal_count")
 
 
@@ -87,7 +87,7 @@ def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
         symbol = F.when(F.col("symbol") == "*", "*").otherwise("click")
         return own.withColumns({"changed_at": F.timestamp_seconds(F.unix_seconds("first") + (hours * 3600).cast("long")), "symbol": symbol}).drop("first")
 
-    out = jobs.stream_configured(ticks, log, _folder(spark))
+    out = jobs.stream_configured(ticks, log, new_folder(spark))
     return out.select("config_id", "inst_id", "seq", "indicator_name")
 
 
