@@ -22,6 +22,8 @@ from pyspark.sql.window import WindowSpec
 
 from quotemill.operators import scans
 
+#: Windows of up to this many bars are lists in a window expression where an operation needs their values; longer ones pass by as scans.
+LISTED = 64
 #: Values whose difference is within this share of them, or of 1, are equal: sums of the same numbers in another order differ by less.
 EQUAL = 1e-9
 
@@ -464,6 +466,15 @@ _SCANS: dict[str, tuple[Callable[..., scans.Affine | scans.Streak], tuple[int, .
     "laguerre_rsi": (scans.Ladder, ()),
     "streak_of": (scans.Streak, (0,)),
 }
+#: Windows whose values an operation needs: the kind for the length and the further parameters.
+_ROLLING: dict[str, Callable[..., scans.Rolling]] = {
+    "wma": scans.Weighted,
+    "percentile": scans.Ranked,
+    "percent_rank": scans.RankOf,
+    "mean_deviation": scans.Deviation,
+    "mean_of_last": scans.SomeLast,
+    "since_extreme": scans.SinceExtreme,
+}
 #: Exponential means: the weight of a new value for the parameter. Means of one input, of each other and of sums of them run together.
 _MEANS: dict[str, Callable[[float], float]] = {"ema": lambda n: 2 / (n + 1), "wilder": lambda n: 1 / n, "ema_alpha": float}
 
@@ -558,10 +569,11 @@ def _cascades(waiting: list[Ind], ready: set[Ind]) -> tuple[list[scans.Plan], li
     return plans, made
 
 
-def compute(bars: DataFrame, wanted: dict[str, Ind], key: str = "inst_id", order: str = "bar_time", slot: float = scans.SLOT) -> DataFrame:
+def compute(bars: DataFrame, wanted: dict[str, Ind], key: str = "inst_id", order: str = "bar_time", slot: float = scans.SLOT, listed: int = LISTED) -> DataFrame:
     """`bars` with one column per wanted indicator. Windows are partial at the start of an instrument.
 
-    slot: seconds (or units of a numeric order) that recurrences are cut into; values don't depend on it.
+    slot: seconds (or units of a numeric order) that recurrences are cut into; listed: the longest window that is a list.
+    Values depend on neither.
     """
     run = W.partitionBy(key).orderBy(order)
     rows: Frame = lambda n: run.rowsBetween(1 - int(n), 0)
@@ -575,7 +587,8 @@ def compute(bars: DataFrame, wanted: dict[str, Ind], key: str = "inst_id", order
     name = lambda x: x.column if isinstance(x, Ind) else float(x)
     while waiting:
         open_to = lambda n: all(x in ready for x in n.inputs if isinstance(x, Ind))  # noqa: E731, B023
-        able = [n for n in waiting if n.op in _EXPRESSIONS and open_to(n)]
+        rolled = lambda n: n.op in _ROLLING and n.params[0] > listed
+        able = [n for n in waiting if n.op in _EXPRESSIONS and not rolled(n) and open_to(n)]
         if able:
             out = out.withColumns({n.column: _EXPRESSIONS[n.op](run, rows, *map(value, n.inputs), *n.params) for n in able})
         else:
@@ -585,6 +598,9 @@ def compute(bars: DataFrame, wanted: dict[str, Ind], key: str = "inst_id", order
                     kind, loose = _SCANS[n.op]
                     plans.append(scans.Plan(kind(*n.params), tuple(map(name, n.inputs)), (n.column,), loose))
                     able.append(n)
+                elif rolled(n) and open_to(n):
+                    plans.append(scans.Plan(_ROLLING[n.op](*n.params), tuple(map(name, n.inputs)), (n.column,)))
+                    able.append(n)
             walks = [n for n in waiting if n.op in _WALKS and open_to(n)]
             if plans:
                 out = scans.run_scans(out, plans, key, order, slot)

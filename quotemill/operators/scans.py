@@ -12,6 +12,9 @@ stretch, and how two stretches are one. Bars with a null input leave the state a
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -218,11 +221,141 @@ class Streak:
         return state[0]
 
 
+class Rolling:
+    """A window of the last n bars. State: the values of the last n - 1 bars, one row per input.
+
+    over(inputs, known) gives the values for the bars from `known` on; those before are there to be looked back at.
+    """
+
+    def __init__(self, n: float, *params: float) -> None:
+        self.n, self.params = int(n), params
+
+    def over(self, inputs: list[np.ndarray], known: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def run(self, arrays, state):
+        held = np.zeros((len(arrays), 0)) if state is None else state.reshape(len(arrays), -1)
+        inputs = [np.concatenate((h, x)) for h, x in zip(held, arrays, strict=True)]
+        keep = max(0, len(inputs[0]) - self.n + 1)
+        return self.over(inputs, held.shape[1]), np.concatenate([x[keep:] for x in inputs])
+
+    def summary(self, arrays):
+        keep = max(0, len(arrays[0]) - self.n + 1)
+        return np.concatenate([np.array([len(arrays), len(arrays[0])]), *[x[keep:] for x in arrays]]) if len(arrays[0]) else np.array([])
+
+    def joined(self, one, two):
+        if not len(one) or not len(two):
+            return one if len(one) else two
+        k = int(one[0])
+        parts = [np.concatenate((a, b)) for a, b in zip(one[2:].reshape(k, -1), two[2:].reshape(k, -1), strict=True)]
+        return np.concatenate([np.array([k, one[1] + two[1]]), *[x[max(0, len(x) - self.n + 1) :] for x in parts]])
+
+    def moved(self, state, summary):
+        if not len(summary):
+            return state
+        if state is None:
+            return summary[2:]
+        k = int(summary[0])
+        parts = [np.concatenate((a, b)) for a, b in zip(state.reshape(k, -1), summary[2:].reshape(k, -1), strict=True)]
+        return np.concatenate([x[max(0, len(x) - self.n + 1) :] for x in parts])
+
+    def last(self, state):
+        return np.nan  # a bar without a value has no window
+
+
+def _sums(x: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the last `sizes` values before each end, by running sums from the middle of the values on."""
+    total = np.concatenate(([0.0], np.cumsum(x)))
+    return total[ends] - total[ends - sizes]
+
+
+class Weighted(Rolling):
+    """Linearly weighted mean, the newest bar heaviest, by two running sums."""
+
+    def over(self, inputs, known):
+        x, ends = inputs[0], np.arange(known + 1, len(inputs[0]) + 1)
+        sizes, middle = np.minimum(ends, self.n), float(inputs[0].mean())
+        y = x - middle  # small values keep the running sums exact
+        weighted = _sums(y * np.arange(len(y)), ends, sizes) - (ends - sizes - 1) * _sums(y, ends, sizes)
+        return middle + weighted / (sizes * (sizes + 1) / 2)
+
+
+class Ranked(Rolling):
+    """The window as a sorted list, one value in and one out per bar."""
+
+    def over(self, inputs, known):
+        values, out = inputs[0].tolist(), []
+        held: list[float] = []
+        for i, x in enumerate(values):
+            if i >= self.n:
+                del held[bisect_left(held, values[i - self.n])]
+            insort(held, x)
+            if i >= known:
+                out.append(self.value(held, x))
+        return np.array(out)
+
+    def value(self, held: list[float], x: float) -> float:
+        """Nearest rank: the ceil(p * count / 100)-th smallest."""
+        return held[max(0, math.ceil(self.params[0] * len(held) / 100.0) - 1)]
+
+
+class RankOf(Ranked):
+    """Share of the window's values that are not above the newest, as a percentage."""
+
+    def value(self, held, x):
+        return bisect_right(held, x) * 100.0 / len(held)
+
+
+class Deviation(Rolling):
+    """Mean distance of the window's values from their own mean, a block of windows at a time."""
+
+    def over(self, inputs, known):
+        x, out = inputs[0], []
+        for i in range(known, min(self.n - 1, len(x))):
+            part = x[: i + 1]
+            out.append(float(np.abs(part - part.mean()).mean()))
+        if len(x) >= self.n:
+            windows = np.lib.stride_tricks.sliding_window_view(x, self.n)[max(0, known - self.n + 1) :]
+            size = max(1, (1 << 20) // self.n)
+            for at in range(0, len(windows), size):
+                part = windows[at : at + size]
+                out += np.abs(part - part.mean(axis=1, keepdims=True)).mean(axis=1).tolist()
+        return np.array(out)
+
+
+class SomeLast(Rolling):
+    """Mean of as many of the last values as the second input says, rounded down, n at most."""
+
+    def over(self, inputs, known):
+        x, ends = inputs[0], np.arange(known + 1, len(inputs[0]) + 1)
+        sizes, middle = np.minimum(np.minimum(np.floor(inputs[1][known:]), ends), self.n).astype(int), float(inputs[0].mean())
+        sizes = np.maximum(sizes, 0)
+        return np.where(sizes > 0, middle + _sums(x - middle, ends, sizes) / np.maximum(sizes, 1), np.nan)
+
+
+class SinceExtreme(Rolling):
+    """Bars since the newest extreme of the window, by a queue of the values that can still become it."""
+
+    def over(self, inputs, known):
+        x = inputs[0] if self.params[0] else -inputs[0]
+        queue: deque[tuple[int, float]] = deque()
+        out = []
+        for i, v in enumerate(x.tolist()):
+            while queue and queue[-1][1] <= v:
+                queue.pop()
+            queue.append((i, v))
+            if queue[0][0] <= i - self.n:
+                queue.popleft()
+            if i >= known:
+                out.append(float(i - queue[0][0]))
+        return np.array(out)
+
+
 @dataclass(frozen=True)
 class Plan:
     """A recurrence over columns (or numbers): what it makes of them, under which names. loose: inputs that may be null."""
 
-    kind: Affine | Streak
+    kind: Affine | Streak | Rolling
     inputs: tuple[str | float, ...]
     columns: tuple[str, ...]
     loose: tuple[int, ...] = ()

@@ -133,6 +133,38 @@ def test_nulls_at_the_start_of_a_slot(spark):
     assert np.allclose(out[120.0], out[6000.0], equal_nan=True) and not np.isnan(out[120.0]).any()
 
 
+WINDOWS = {
+    "wma": f.wma(close, 9), "hull": f.hma(close, 12), "percentile": f.percentile(close, 20, 25.0), "rank": Ind("percent_rank", (close,), (15,)), "cci": f.cci(11), "aroon": f.aroon(25), "bottom": f.aroon(14, False),
+    "some": Ind("mean_of_last", (close, f.stoch_k(9) / 10.0 + 1.0), (8,)), "median": f.percentile(close, 1, 50.0),
+}
+
+
+@pytest.mark.parametrize("slot", [5 * 60.0, 40 * 60.0, 1e9])
+def test_long_windows_pass_by_as_scans(bars, slot):
+    """With `listed` 0 no operation makes a list; slots may be shorter than the windows."""
+    lists, passed = compute(bars, WINDOWS).cache(), compute(bars, WINDOWS, slot=slot, listed=0).cache()
+    for name in WINDOWS:
+        for inst in ("s1", "s2"):
+            assert np.allclose(series(lists, name, inst), series(passed, name, inst), rtol=1e-9, atol=1e-9), name
+
+
+def test_a_window_of_thousands(spark):
+    """Ties and long windows: against plain Python on every 97th bar."""
+    rng, n = random.Random(4), 4000
+    rows = [("x", T0 + timedelta(minutes=i), *[float(rng.randrange(60))] * 4, 1.0) for i in range(n)]
+    wanted = {"wma": f.wma(close, 1500), "percentile": f.percentile(close, 1500, 90.0), "rank": Ind("percent_rank", (close,), (1500,)), "since": Ind("since_extreme", (close,), (1500, 1)), "dev": Ind("mean_deviation", (close,), (1500,))}
+    out = compute(spark.createDataFrame(rows, SCHEMA), wanted, slot=60_000.0).cache()
+    c = [r[2] for r in rows]
+    got = {k: series(out, k, "x") for k in wanted}
+    for i in range(0, n, 97):
+        w = c[max(0, i - 1499) : i + 1]
+        assert abs(got["wma"][i] - np.average(w, weights=range(1, len(w) + 1))) < 1e-9
+        assert got["percentile"][i] == sorted(w)[max(0, -(-90 * len(w) // 100) - 1)]
+        assert abs(got["rank"][i] - sum(x <= c[i] for x in w) * 100 / len(w)) < 1e-9
+        assert got["since"][i] == len(w) - 1 - max(k for k, x in enumerate(w) if x == max(w))
+        assert abs(got["dev"][i] - np.abs(np.array(w) - np.mean(w)).mean()) < 1e-9
+
+
 def test_a_null_leaves_a_fold_alone(spark):
     rows = [("x", T0 + timedelta(minutes=i), p, p, p, p, 1.0) for i, p in enumerate([None, 100.0, 100.0, None, 100.0, 106.0, None, 100.0])]
     got = [r.e for r in compute(spark.createDataFrame(rows, SCHEMA), {"e": f.ema(close, 2)}).orderBy("bar_time").collect()]
