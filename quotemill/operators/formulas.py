@@ -143,6 +143,11 @@ def or_neutral(value, base):
     return choose(over(base, 0.0), value, 50.0)
 
 
+def after(n, value, early):
+    """`early` until n earlier bars are there: what the source system gives for a short input."""
+    return choose(over(Ind("bar_number"), float(n)), value, float(early))
+
+
 def neutral_share(p, m):
     """p as a percentage of p and m, 50 where both are 0."""
     return or_neutral(p / (p + m) * 100.0, p + m)
@@ -334,12 +339,12 @@ def money_flow(n=14):
     flow = typical * volume
     up, down = over(typical, before(typical)), under(typical, before(typical))
     p, m = total(choose(up, flow, 0.0), n), total(choose(down, flow, 0.0), n)
-    return neutral_share(p, m)
+    return after(n, neutral_share(p, m), 50)
 
 
 def volume_weighted_rsi(n=14):
     p, m = total(positive_part(change(close)) * volume, n), total(negative_part(change(close)) * volume, n)
-    return neutral_share(p, m)
+    return after(n, neutral_share(p, m), 50)
 
 
 def beta(x, n=20):
@@ -374,26 +379,26 @@ def ultimate(a=7, b=14, c=28):
 def sum_directional(n=14, plus=True):
     up, down = high - before(high), before(low) - low
     move = choose(over(up, down) & over(up, 0.0), up, 0.0) if plus else choose(over(down, up) & over(down, 0.0), down, 0.0)
-    return total(move, n) / total(true_range(), n) * 100.0
+    return after(n, total(move, n) / total(true_range(), n) * 100.0, 0)
 
 
 def directional_index(n=14):
     p, m = sum_directional(n), sum_directional(n, False)
-    return Ind("abs", (p - m,)) / (p + m) * 100.0
+    return Ind("abs", (p - m,)) / (p + m) * 100.0  # 0 as long as both are
 
 
 def vertical_horizontal(n=28):
-    return (highest(close, n) - lowest(close, n)) / total(Ind("abs", (change(close),)), n)
+    return after(n, (highest(close, n) - lowest(close, n)) / total(Ind("abs", (change(close),)), n), 0)
 
 
 def relative_momentum(n=14, by=5):
     p, m = total(positive_part(change(close, by)), n), total(negative_part(change(close, by)), n)
-    return neutral_share(p, m)
+    return after(n + by, neutral_share(p, m), 50)
 
 
 def intraday_momentum(n=14):
     p, m = total(positive_part(close - open_), n), total(negative_part(close - open_), n)
-    return neutral_share(p, m)
+    return after(n, neutral_share(p, m), 50)
 
 
 def count_below(x, n):
@@ -457,23 +462,23 @@ def position_weighted(n=20):
 
 def rocket_rsi(n=14):
     r, boost = rsi(close, n), volume / sma(volume, n) * 0.3
-    return Ind("smaller", (Ind("larger", (choose(over(r, 50.0), r + boost, r - boost), 0.0)), 100.0))
+    return after(n, Ind("smaller", (Ind("larger", (choose(over(r, 50.0), r + boost, r - boost), 0.0)), 100.0)), 50)
 
 
 def selection_index(n=14):
     moves = change(close) / before(close)
-    return (close / before(close, n) - 1.0) / Ind("root", (sma(moves * moves, n),)) * 100.0
+    return after(n, (close / before(close, n) - 1.0) / Ind("root", (sma(moves * moves, n),)) * 100.0, 0)
 
 
 def trend_intensity(n=20):
     up = total(choose(over(close, before(close)), 1.0, 0.0), n)
     down = total(choose(under(close, before(close)), 1.0, 0.0), n)
-    return neutral_share(up, down)
+    return after(n, neutral_share(up, down), 50)
 
 
 def know_sure_thing():
     parts = [sma(roc(close, n), m) * float(w) for n, m, w in ((10, 10, 1), (15, 10, 2), (20, 10, 3), (30, 15, 4))]
-    return parts[0] + parts[1] + parts[2] + parts[3]
+    return after(30, parts[0] + parts[1] + parts[2] + parts[3], 0)
 
 
 def rainbow(n=2, lines=10):
@@ -482,12 +487,12 @@ def rainbow(n=2, lines=10):
     for _ in range(lines - 1):
         means.append(sma(means[-1], n))
     top, bottom = Ind("larger", tuple(means)), Ind("smaller", tuple(means))
-    return (close - bottom) / (top - bottom) * 100.0
+    return after(n * lines, (close - bottom) / (top - bottom) * 100.0, 0)
 
 
 def random_walk(n=14):
     scale = atr(n) * math.sqrt(n)
-    return Ind("larger", ((high - before(close, n)) / scale, (before(close, n) - low) / scale))
+    return after(n, Ind("larger", ((high - before(close, n)) / scale, (before(close, n) - low) / scale)), 0)
 
 
 # Candles.

@@ -370,7 +370,7 @@ BREAKOUTS: dict[str, Rules] = {
 BREAKOUTS |= _reversals(
     {
         "ROCKET_RSI": (f.rocket_rsi(), 25.0, 75.0),
-        "STOCHASTIC_MOMENTUM": (f.or_neutral(f.stoch_k(14), f.highest(high, 14) - f.lowest(low, 14)), 20.0, 80.0),
+        "STOCHASTIC_MOMENTUM": (f.after(14, f.or_neutral(f.stoch_k(14), f.highest(high, 14) - f.lowest(low, 14)), 50), 20.0, 80.0),
         "RAINBOW_OSCILLATOR": (f.rainbow(), 20.0, 80.0),
     }
 ) | _limits(

@@ -177,6 +177,14 @@ def test_flat_and_short_input_is_neutral(spark):
     flat = spark.createDataFrame(rows, SCHEMA)
     names = ["STOCHASTIC_MOMENTUM", "RELATIVE_MOMENTUM_INDEX", "INTRADAY_MOMENTUM_INDEX", "TREND_INTENSITY_INDEX", "VOLUME_WEIGHTED_RSI", "MONEY_FLOW_INDEX"]
     assert {r.signal_type for r in presets.preset_signals(flat, names).collect()} == {"HOLD"}
+    # until as many bars are there as the length says, the value is neutral, whatever the prices do
+    few = spark.createDataFrame(walk(9, 13) + walk(12, 13), SCHEMA)
+    assert {r.signal_type for r in presets.preset_signals(few, [*names, "ROCKET_RSI"]).collect()} == {"HOLD"}
+    early = {"rmi": (f.relative_momentum(14, 5), 19, 50), "kst": (f.know_sure_thing(), 30, 0), "rainbow": (f.rainbow(), 20, 0), "vhf": (f.vertical_horizontal(28), 28, 0), "rwi": (f.random_walk(14), 14, 0), "csi": (f.selection_index(14), 14, 0)}
+    out = compute(spark.createDataFrame(walk(9, 60), SCHEMA), {k: v for k, (v, _, _) in early.items()})
+    for name, (_, n, value) in early.items():
+        got = series(out, name, "s9")
+        assert (got[:n] == value).all() and (got[n : n + 5] != value).any(), name
 
 
 def test_connors_equals_a_loop(bars):
