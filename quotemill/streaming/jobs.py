@@ -5,7 +5,7 @@ batches (jumps, breakouts, presets) runs the batch operator over each batch and
 batch before carried for each key.
 
 Spark's watermark follows the latest time seen in any partition, so an idle partition doesn't hold it
-back; of several streams, `spark.sql.streaming.multipleWatermarkPolicy` = max lets the faster one lead.
+back. Of several streams the slowest leads; `kept_awake` lets another stream's time count for one that is silent.
 """
 
 from __future__ import annotations
@@ -51,17 +51,37 @@ def stream_window_stats(rows: DataFrame, length: str = "15 minutes", slide: str
     return signals.window_stats(watermarked(rows, lateness), length, slide)
 
 
-def stream_pairs(spot: DataFrame, swap: DataFrame, within_seconds: int = 10, lateness: str = LATENESS) -> DataFrame:
+def kept_awake(rows: DataFrame, column: str, clock: DataFrame, clock_column: str, idle_seconds: int, lateness: str = LATENESS) -> DataFrame:
+    """`rows` with a watermark on `column` that goes on while they are silent: by the clock's time, `idle_seconds` behind it.
+
+    clock: another stream. Its rows come in as heartbeats, which bear nothing but a time: they move the watermark and are
+    dropped right after it, so they reach no state and no result. A row that is more than the idle time and the lateness behind the
+    clock is late.
+    """
+    beat = (F.col(clock_column).cast("timestamp") - F.expr(f"INTERVAL {int(idle_seconds)} SECONDS")).alias(column)
+    beats = clock.where(F.col(clock_column).isNotNull()).select(beat, F.lit(True).alias("__beat"))
+    both = rows.withColumn("__beat", F.lit(False)).unionByName(beats, allowMissingColumns=True)
+    # the filter names the time, or else the optimizer moves it before the watermark
+    real = F.when(F.col("__beat"), F.lit(None)).otherwise(F.coalesce(F.col(column), F.timestamp_seconds(F.lit(0)))).isNotNull()
+    return both.withWatermark(column, lateness).where(real).drop("__beat")
+
+
+def stream_pairs(spot: DataFrame, swap: DataFrame, within_seconds: int = 10, lateness: str = LATENESS, how: str = "inner", idle_seconds: int | None = None) -> DataFrame:
     """Spot and swap rows of a symbol within some seconds of each other, both ends included.
 
     spot: symbol, spot_ts and others; swap: symbol, swap_ts and others. Both watermarks and the time
-    bound let Spark drop state that can't meet a partner any more.
+    bound let Spark drop state that can't meet a partner any more; how = leftOuter also gives the spot rows that have none, when
+    that is certain. With idle_seconds a silent side is kept awake by the other one.
     """
-    a = spot.withWatermark("spot_ts", lateness).alias("a")
-    b = swap.withWatermark("swap_ts", lateness).withColumnRenamed("symbol", "__symbol").alias("b")
+    if idle_seconds is None:
+        a, b = spot.withWatermark("spot_ts", lateness), swap.withWatermark("swap_ts", lateness)
+    else:
+        a = kept_awake(spot, "spot_ts", swap, "swap_ts", idle_seconds, lateness)
+        b = kept_awake(swap, "swap_ts", spot, "spot_ts", idle_seconds, lateness)
+    a, b = a.alias("a"), b.withColumnRenamed("symbol", "__symbol").alias("b")
     span = F.expr(f"INTERVAL {int(within_seconds)} SECONDS")
     near = (F.col("b.swap_ts") >= F.col("a.spot_ts") - span) & (F.col("b.swap_ts") <= F.col("a.spot_ts") + span)
-    return a.join(b, (F.col("a.symbol") == F.col("b.__symbol")) & near).drop("__symbol")
+    return a.join(b, (F.col("a.symbol") == F.col("b.__symbol")) & near, how).drop("__symbol")
 
 
 def stream_once(ticks: DataFrame, keys: list[str], lateness: str = LATENESS) -> DataFrame:

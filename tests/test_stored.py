@@ -163,3 +163,34 @@ def test_a_load_that_dies_half_way_leaves_each_row_once(spark, tmp_path, monkeyp
     tables.load_labelled(path, "small", max_bytes=1000)(rows.where("id < 100"), 0)
     small = tables.read_loads(spark, path, "id long, text string").where("label = 'small-0'")
     assert small.count() == 100 and small.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 20
+
+
+@pytest.mark.parametrize("idle", [None, 30])
+def test_a_silent_side_does_not_hold_back_a_join(spark, tmp_path, idle):
+    """The swap side says nothing after its first row. Spot rows without a partner come out only if the spot side's time counts for it."""
+    at = lambda s: T0 + timedelta(seconds=s)
+    spot, swap, folder = str(tmp_path / "spot"), str(tmp_path / "swap"), str(tmp_path / "out")
+    write = lambda rows, path, name: spark.createDataFrame(rows, f"symbol string, {name}_ts timestamp, {name}_n int").coalesce(1).write.mode("append").parquet(path)
+    write([("x", at(1), 1)], swap, "swap")
+    found = None
+    for rows in ([("x", at(0), 1), ("x", at(40), 2)], [("x", at(300), 3), ("y", at(301), 4)], [("x", at(600), 5)], [("x", at(601), 6)]):
+        write(rows, spot, "spot")
+        read = lambda path, name: spark.readStream.schema(f"symbol string, {name}_ts timestamp, {name}_n int").parquet(path)
+        found = jobs.run_to_end(jobs.stream_pairs(read(spot, "spot"), read(swap, "swap"), how="leftOuter", idle_seconds=idle), folder)
+    got = sorted((r.spot_n, r.swap_n) for r in found.collect())
+    assert got == ([(1, 1)] if idle is None else [(1, 1), (2, None), (3, None), (4, None)])
+
+
+def test_a_row_of_a_side_that_woke_up_is_met(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    spot, swap, folder = str(tmp_path / "spot"), str(tmp_path / "swap"), str(tmp_path / "out")
+    write = lambda rows, path, name: spark.createDataFrame(rows, f"symbol string, {name}_ts timestamp, {name}_n int").coalesce(1).write.mode("append").parquet(path)
+    write([("x", at(0), 1)], swap, "swap")
+    steps = [([("x", at(100), 1)], []), ([("x", at(110), 2)], [("x", at(95), 2)]), ([("x", at(500), 3)], [])]
+    for rows, others in steps:
+        write(rows, spot, "spot")
+        if others:
+            write(others, swap, "swap")  # 15 seconds behind: within the idle time
+        read = lambda path, name: spark.readStream.schema(f"symbol string, {name}_ts timestamp, {name}_n int").parquet(path)
+        found = jobs.run_to_end(jobs.stream_pairs(read(spot, "spot"), read(swap, "swap"), idle_seconds=30), folder)
+    assert [(r.spot_n, r.swap_n) for r in found.collect()] == [(1, 2)]
