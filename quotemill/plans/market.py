@@ -136,9 +136,14 @@ SELECT inst_id, epoch_ms(date_trunc('hour', ts)) AS bar_time, arg_min(last, (ts,
 
 def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.realtime_metrics(hourly_bars(spark, sf_dir))
-    keep = ["inst_id", "window_end", "close", "close_lag_1", "close_lag_60", "volume_5", "volume_1440", "high_60", "low_5", "trend_1", "trend_60"]
-    rounded = ["change_rate_1", "change_rate_5", "change_rate_60", "volatility_1", "volatility_15", "volatility_60"]
-    return _ms(out.select(*keep, *rounded), "window_end")
+    return _ms(out.select("inst_id", "window_end", "close", *METRIC_COLUMNS), "window_end")
+
+
+METRIC_COLUMNS = (
+    [f"{c}_{n}" for c, lengths in (("close_lag", metrics.LAGS), ("volume", metrics.SUMS), ("high", metrics.RANGES), ("low", metrics.RANGES)) for n in lengths]
+    + [f"{c}_{n}" for c in ("change_rate", "volatility") for n in metrics.LAGS]
+    + [f"trend_{n}" for n in (1, 5, 60)]
+)
 
 
 def _rate(n: int) -> str:
@@ -159,19 +164,18 @@ _METRICS = f"""m AS (
 r AS (SELECT *, {', '.join(_rate(n) for n in metrics.LAGS)},
          {', '.join(f"CASE WHEN close > close_lag_{n} THEN 'UP' WHEN close < close_lag_{n} THEN 'DOWN' ELSE 'FLAT' END AS trend_{n}" for n in (1, 5, 60))} FROM m)"""
 ROLLING_METRICS = f"""WITH {TICKS}, {_HOURLY}, {_METRICS}
-SELECT inst_id, epoch_ms(window_start) + 3600000 AS window_end, close, close_lag_1, close_lag_60, volume_5, volume_1440, high_60, low_5, trend_1, trend_60,
-       change_rate_1, change_rate_5, change_rate_60, volatility_1, volatility_15, volatility_60 FROM r"""
+SELECT inst_id, epoch_ms(window_start) + 3600000 AS window_end, close, {', '.join(METRIC_COLUMNS)} FROM r"""
 
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.market_overview(metrics.realtime_metrics(hourly_bars(spark, sf_dir)))
-    return _ms(out, "window_end").select("window_end", "total_symbols", "active_symbols", "total_volume", "rising", "falling", "flat", "rising_ratio", "max_volatility", "max_gain")
+    return _ms(out, "window_end").select("window_end", "total_symbols", "active_symbols", "total_volume", "rising", "falling", "flat", "rising_ratio", "max_volatility", "min_volatility", "max_gain", "max_loss")
 
 
 OVERVIEW = f"""WITH {TICKS}, {_HOURLY}, {_METRICS}
 SELECT epoch_ms(window_start) + 3600000 AS window_end, count(DISTINCT inst_id) AS total_symbols, count(*) AS active_symbols, sum(volume) AS total_volume,
        count(*) FILTER (WHERE close > close_lag_1 AND change_rate_1 <> 0) AS rising, count(*) FILTER (WHERE change_rate_1 < 0) AS falling, count(*) FILTER (WHERE change_rate_1 = 0) AS flat,
-       round(count(*) FILTER (WHERE change_rate_1 > 0) / count(DISTINCT inst_id), 6) AS rising_ratio, max(volatility_1) AS max_volatility, max(change_rate_1) AS max_gain
+       round(count(*) FILTER (WHERE change_rate_1 > 0) / count(DISTINCT inst_id), 6) AS rising_ratio, max(volatility_1) AS max_volatility, min(volatility_1) AS min_volatility, max(change_rate_1) AS max_gain, min(change_rate_1) AS max_loss
 FROM r GROUP BY window_start"""
 
 

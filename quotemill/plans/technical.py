@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.functions import table_functions
 from quotemill.operators import formulas as f
 from quotemill.operators import presets, trades
 from quotemill.operators.configured import configured_signals, validity
@@ -259,6 +260,21 @@ SELECT config_id, inst_id, epoch_ms(bar_time) AS bar_ms, round(b, 4) AS value, s
 JOIN versions ON enabled AND k = period AND (symbol = '*' OR symbol = inst_id) AND bar_time >= changed_at AND (until IS NULL OR bar_time < until) WHERE r > 1"""
 
 
+def sql_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators by SQL alone, from the table function."""
+    table_functions.register(spark)
+    calls = {"SMA": "'SMA', map('period', '10')", "EMA": "'ema', map('period', '12')", "HIGHEST": "'HIGHEST'", "RSI": "'RSI', map('period', '1')"}
+    parts = [f"SELECT '{n}' AS name, inst_id, unix_millis(bar_time) AS bar_ms, round(value, 4) AS value FROM indicator(TABLE({{bars}}), {c})" for n, c in calls.items()]
+    return spark.sql(" UNION ALL ".join(parts), bars=daily_bars(spark, sf_dir))
+
+
+SQL_INDICATORS = f"""WITH RECURSIVE {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY inst_id ORDER BY bar_time) AS r, close - lag(close) OVER (PARTITION BY inst_id ORDER BY bar_time) AS c FROM bars),
+e AS (SELECT inst_id, bar_time, r, close AS v FROM n WHERE r = 1 UNION ALL SELECT n.inst_id, n.bar_time, n.r, v + 2.0::DOUBLE / 13 * (n.close - v) FROM e JOIN n ON n.inst_id = e.inst_id AND n.r = e.r + 1),
+f AS (SELECT 'SMA' AS name, inst_id, bar_time, avg(close) OVER {_rows(10)} AS v FROM n UNION ALL SELECT 'EMA', inst_id, bar_time, v FROM e UNION ALL SELECT 'HIGHEST', inst_id, bar_time, max(high) OVER {_rows(15)} FROM n
+  UNION ALL SELECT 'RSI', inst_id, bar_time, CASE WHEN c > 0 THEN 100 ELSE 0 END FROM n)
+SELECT name, inst_id, epoch_ms(bar_time) AS bar_ms, round(v, 4) AS value FROM f"""
+
+
 def _trades(spark: SparkSession, sf_dir: str, exits: trades.Exits, name: str = "GOLDEN_CROSS") -> DataFrame:
     enter, leave = presets.preset(name)
     out = compute(daily_bars(spark, sf_dir), {"entry": enter, "exit": leave, "rsi": f.rsi(close)})
@@ -295,6 +311,7 @@ _ALL = {
     "preset_configured": (configured, _configured_sql()),
     "configured_parameters": (configured_parameters, CONFIGURED_PARAMETERS),
     "configured_as_of": (configured_as_of, CONFIGURED_AS_OF),
+    "sql_indicators": (sql_indicators, SQL_INDICATORS),
     "preset_coverage": (coverage, _coverage_sql()),
     "trades_stops": (partial(_trades, exits=trades.Exits()), _trades_sql(trades.Exits())),
     "trades_multi_level": (partial(_trades, exits=trades.MULTI_LEVEL), _trades_sql(trades.MULTI_LEVEL)),
