@@ -17,6 +17,12 @@ def ratio(top: Column, bottom: Column, scale: int = 6, percent: bool = False) ->
     return F.when(bottom > 0, F.round(value * 100 if percent else value, scale)).otherwise(F.lit(0.0))
 
 
+def float_ratio(top: Column, bottom: Column) -> Column:
+    """top / bottom as floating-point numbers: by 0 it is infinite, 0 by 0 isn't a number (which compares as greater than all)."""
+    top, bottom = top.cast("double"), bottom.cast("double")
+    return F.when(bottom == 0, top * F.lit(float("inf"))).otherwise(top / bottom)
+
+
 def decimal_divide(top: Column, bottom: Column, scale: int) -> Column:
     """Decimal division at a fixed scale, half up; null where the divisor is 0 or null."""
     return F.round(F.try_divide(top.cast("decimal(38,12)"), bottom.cast("decimal(38,12)")), scale)
