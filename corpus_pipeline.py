@@ -24,7 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays: the one with the smallest doc_id."""
+    """One document of each group of near copies (five words, similarity 0.8) stays: the one with the smallest doc_id.
+
+    Copies are found by op3's SimHash links, verified, and by MinHash bands between the groups that these leave apart.
+    """
     return simhash.drop_near_duplicates(docs, near_copies.near_copies)
 
 

@@ -1,11 +1,13 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-1. every text becomes its set of shingle hashes (64 bits) and a node, the hash of that set, so that exact copies cost nothing
-   further;
-2. BANDS keys of ROWS MinHashes each deal the nodes into buckets. Two sets of similarity s share none with probability
-   (1 - s^ROWS)^BANDS, 7 in a million at 0.8. Fingerprints can't find them: at 0.8 some 10 of 64 bits differ, and no block keys
-   of useful width cover that;
-3. each node is compared with a leader of each of its buckets by their exact similarity, and the links are contracted.
+1. every text becomes its SimHash, its set of shingle hashes (64 bits) and a node, the hash of that set, so that exact copies cost
+   nothing further;
+2. SimHashes of at most 3 differing bits are linked by the pivot table of simhash.py. Each of these links is verified by the exact
+   similarity of its sets, and the nodes that it connects are contracted;
+3. SimHashes leave links over: at 0.8 some 10 of 64 bits differ, and no block keys of useful width cover that. So BANDS keys of
+   ROWS MinHashes each deal the nodes into buckets. Two sets of similarity s share none with probability
+   (1 - s^ROWS)^BANDS, 7 in a million at 0.8. A node is compared with a leader of each of its buckets, if they still lie in
+   different components, by their exact similarity.
    The rows of a leader are dealt over as many tasks as there are thousands of them, and each task holds the leader alone;
 4. buckets whose nodes still lie in different components are compared in whole: a bucket is cut into chunks bounded in rows and
    bytes, each pair of chunks goes to a task, which counts the shared shingles of all its pairs at once and sends back a spanning
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quotemill.llm.common import durable, join_spread, whole_runs
 from quotemill.llm.components import connected_components
+from quotemill.llm.simhash import fingerprint, fingerprint_links
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS, HASH_SEED = 30, 5, 20240311
@@ -66,23 +69,35 @@ def band_keys(found: np.ndarray, hashers: tuple[np.ndarray, np.ndarray]) -> list
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, content, node, size, keys) for each row; content is a hash of the text as it is, size the number of shingles."""
+    """(doc_id, content, fp, node, size, keys) for each row; content is a hash of the text as it is, fp its SimHash, size the number of shingles."""
     text = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = _hashers()
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            prints, nodes, sizes, keys = [], [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), size)
+                prints.append(fingerprint(text.as_py()))
                 nodes.append(xxhash.xxh64_intdigest(found.astype("<u8").tobytes()) - (1 << 63))
                 sizes.append(len(found))
                 keys.append(band_keys(found, hashers))
-            columns = [batch.column("doc_id"), batch.column("content"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", "size", "keys"])
+            signed = pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())
+            columns = [batch.column("doc_id"), batch.column("content"), signed, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fp", "node", "size", "keys"])
 
-    return rows.mapInArrow(scan, "doc_id long, content long, node long, size long, keys array<long>")
+    return rows.mapInArrow(scan, "doc_id long, content long, fp long, node long, size long, keys array<long>")
+
+
+def _print_pairs(prints: DataFrame) -> DataFrame:
+    """(leader, node): pairs of nodes that connect all whose SimHashes are equal or linked by the pivot table. prints: node, fp."""
+    lead = durable(prints.groupBy("fp").agg(F.min("node").alias("leader")))
+    same = join_spread(prints, lead, ["fp"]).select("leader", "node")
+    edges = durable(fingerprint_links(lead.select("fp")))
+    child = join_spread(edges, lead.select(F.col("fp").alias("u"), F.col("leader").alias("node")), ["u"])
+    near = join_spread(child, lead.select(F.col("fp").alias("v"), "leader"), ["v"]).select("leader", "node")
+    return same.unionByName(near).where("node <> leader").distinct()
 
 
 def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -227,10 +242,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = keys.select("node", "key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     member = durable(join_spread(keys, shared, ["key"]))
-    wanted = durable(join_spread(nodes.select("node", "content"), member.select("node").distinct(), ["node"]))
+    pairs = durable(_print_pairs(rows.select("node", "fp").distinct()))
+    paired = pairs.select(F.explode(F.array("leader", "node")).alias("node"))
+    wanted = durable(join_spread(nodes.select("node", "content"), member.select("node").unionByName(paired).distinct(), ["node"]))
     sets = durable(_sets(docs, text_col, wanted, shingle))
-    led = join_spread(member, member.groupBy("key").agg(F.min("node").alias("leader")), ["key"]).where("node <> leader")
-    links = durable(_led(durable(led.select("leader", "node").distinct()), sets, similarity))
+    alike = durable(_led(pairs, sets, similarity))
+    placed = member.join(connected_components(alike), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = durable(placed)
+    lead = placed.groupBy("key").agg(F.min(F.struct("node", "component")).alias("lead"))
+    led = join_spread(placed, lead, ["key"]).where("component <> lead.component").select(F.col("lead.node").alias("leader"), "node")
+    links = durable(alike.unionByName(_led(durable(led.distinct()), sets, similarity)))
     found = connected_components(links)
     named = member.join(found.withColumnRenamed("component", "found"), "node", "left")
     named = named.select("key", "node", "size", F.coalesce("found", "node").alias("component"))

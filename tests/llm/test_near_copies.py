@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quotemill.llm import near_copies
+from quotemill.llm import near_copies, simhash
 from tests.llm.edges import TEXTS, documents, empty
 
 
@@ -96,3 +96,20 @@ def test_edges(spark):
     got = near_copies.near_copies(documents(spark)).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(t[0]) for t in TEXTS)
     assert near_copies.near_copies(empty(spark)).count() == 0
+
+
+def test_simhash_links_are_found_verified_and_contracted(spark, monkeypatch):
+    """Copies with few changed words are connected by the pivot table alone; texts of another set with the same SimHash are not."""
+    rows = []
+    for i in range(20):
+        words = [f"w{i}x{k}" for k in range(400)]
+        rows += [(3 * i, " ".join(words), "en", "s"), (3 * i + 1, " ".join([*words[:-1], "other"]), "en", "s"), (3 * i + 2, f"alone{i}", "en", "s")]
+    docs = documents(spark, rows)
+    wanted = {i: 3 * (i // 3) if i % 3 == 1 else i for i in range(60)}
+    monkeypatch.setattr(near_copies, "band_keys", lambda found, hashers: [])
+    close = {3 * i + 1 for i in range(20) if (simhash.fingerprint(rows[3 * i][1].encode()) ^ simhash.fingerprint(rows[3 * i + 1][1].encode())).bit_count() <= 3}
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {i: wanted[i] if i in close else i for i in range(60)} and len(close) > 10
+    monkeypatch.setattr(near_copies, "fingerprint", lambda text: 7)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert all(got[i] == i for i in got if i % 3 != 1)
