@@ -18,9 +18,13 @@ def ratio(top: Column, bottom: Column, scale: int = 6, percent: bool = False) ->
 
 
 def float_ratio(top: Column, bottom: Column) -> Column:
-    """top / bottom as floating-point numbers: by 0 it is infinite, 0 by 0 isn't a number (which compares as greater than all)."""
+    """top / bottom as floating-point numbers: by 0 it is infinite, 0 by 0 isn't a number (which compares as greater than all).
+
+    -0.0 turns the sign, as any negative divisor does.
+    """
     top, bottom = top.cast("double"), bottom.cast("double")
-    return F.when(bottom == 0, top * F.lit(float("inf"))).otherwise(top / bottom)
+    endless = F.when(bottom.cast("string").startswith("-"), float("-inf")).otherwise(float("inf"))
+    return F.when(bottom == 0, top * endless).otherwise(top / bottom)
 
 
 def decimal_divide(top: Column, bottom: Column, scale: int) -> Column:

@@ -119,21 +119,23 @@ def carried_rows(rows: DataFrame, folder: str, step: Callable[[DataFrame, DataFr
     return rows.sparkSession.read.schema(schema).parquet(f"{folder}/rows").select(*fields.names)
 
 
-def stream_jumps(ticks: DataFrame, folder: str, jump: float = monitor.JUMP) -> DataFrame:
+def stream_jumps(ticks: DataFrame, folder: str, jump: float = monitor.JUMP, null_resets: bool = False, nulls_last: bool = False) -> DataFrame:
     """(inst_id, ts, seq, last, is_anomaly): each price against the key's last one, across batches.
 
-    Carried: the last price of each key. It comes before all rows of the next batch, late ones too.
+    Carried: the last price of each key. It comes before all rows of the next batch, late ones too. null_resets and
+    nulls_last are those of monitor.flag_jumps.
     """
 
     def step(batch: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         rows = batch.withColumn("__new", F.lit(True))
-        rows = rows if carried is None else rows.unionByName(carried)
-        place = F.struct(F.col("ts").isNotNull(), "ts", "seq")
-        ends = rows.where("last is not null").groupBy("inst_id").agg(F.max_by("last", place).alias("last"))
-        first = ends.select("inst_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(-(1 << 63)).alias("seq"), "last", F.lit(False).alias("__new"))
-        return monitor.flag_jumps(rows, jump).where("__new").drop("__new"), first
+        if carried is not None:
+            rows = rows.unionByName(carried.select("inst_id", first.alias("ts"), F.lit(-(1 << 63)).alias("seq"), "last", F.lit(False).alias("__new")))
+        prices = rows if null_resets else rows.where("last is not null")
+        ends = prices.groupBy("inst_id").agg(F.max_by("last", F.struct("__new", monitor.arrival(nulls_last))).alias("last"))
+        return monitor.flag_jumps(rows, jump, null_resets, nulls_last=nulls_last).where("__new").drop("__new"), ends
 
-    rows = ticks.select("inst_id", "ts", "seq", F.nanvl(F.col("last").cast("double"), F.lit(None)).alias("last"))
+    first = F.timestamp_micros(F.lit(-(1 << 63))) if nulls_last else F.lit(None).cast("timestamp")
+    rows = ticks.select("inst_id", "ts", "seq", F.col("last").cast("double").alias("last"))
     return carried_rows(rows, folder, step, "inst_id string, ts timestamp, seq long, last double, is_anomaly boolean")
 
 
